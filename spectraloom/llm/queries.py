@@ -1,8 +1,10 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
+from .minhash_dedup import op2_minhash_dedup
 from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
