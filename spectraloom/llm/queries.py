@@ -1,12 +1,14 @@
 """The queries of this subpackage, by name, and the SQL of those that SQL can express."""
 
 from .minhash_dedup import op2_minhash_dedup
+from .mixing import op4_mixing
 from .packing import op3_best_fit_packing
 from .substring_dedup import op6_substring_dedup
 
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_mixing": op4_mixing,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
