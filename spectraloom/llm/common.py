@@ -126,11 +126,11 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
 class Words:
     """The words of some texts: start and end (bytes in raw), first (n + 1: index of each text's first word)."""
 
-    def __init__(self, raw: np.ndarray, offs: np.ndarray):
+    def __init__(self, raw: np.ndarray, offs: np.ndarray, space: np.ndarray = _SPACE):
         self.raw, self.offs = raw, offs
         word = np.empty(len(raw) + 2, bool)
         word[0] = word[-1] = False
-        np.logical_not(_SPACE[raw], out=word[1:-1])
+        np.logical_not(space[raw], out=word[1:-1])
         edge = word[1:] != word[:-1]
         # two texts can meet without white space between them
         inner = offs[1:-1]

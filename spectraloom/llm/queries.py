@@ -4,11 +4,13 @@ from .minhash_dedup import op2_minhash_dedup
 from .mixing import op4_mixing
 from .packing import op3_best_fit_packing
 from .substring_dedup import op6_substring_dedup
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_minhash_dedup": op2_minhash_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
 }
 
