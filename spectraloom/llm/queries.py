@@ -5,6 +5,7 @@ from .chat import op1_chat_formatting
 from .minhash_dedup import op2_minhash_dedup
 from .mixing import op4_mixing
 from .packing import op3_best_fit_packing
+from .quality import op9_quality_rules
 from .substring_dedup import op6_substring_dedup
 from .toxicity import op5_toxicity
 from .url_filter import op10_url_filter
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
 }
 
