@@ -3,6 +3,7 @@
 from . import chat, url_filter
 from .chat import op1_chat_formatting
 from .fingerprints import op8_fingerprints
+from .html_text import op7_html_extraction
 from .minhash_dedup import op2_minhash_dedup
 from .mixing import op4_mixing
 from .packing import op3_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_html_extraction": op7_html_extraction,
     "op8_fingerprints": op8_fingerprints,
     "op9_quality_rules": op9_quality_rules,
     "op10_url_filter": op10_url_filter,
