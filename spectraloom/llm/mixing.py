@@ -109,6 +109,27 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     return schedule.select("slot", F.col("s.source").alias("source"), "pass", "_key", "start", "end"), documents
 
 
+def mixed_documents(docs: DataFrame, text: str = "text", length: str = "n_chars", **kw) -> DataFrame:
+    """The mix as documents: the columns of docs, one row for each document and pass with words in the schedule.
+
+    A document taken whole keeps its text; of one that the schedule ends in, the words taken are joined by one space, and
+    `length` (if there is such a column) is set anew. Documents without words are in no mix."""
+    schedule, sizes = mix(docs, text=text, **kw)
+    part = schedule.groupBy("_key", "pass").agg(F.min("start").alias("_start"), F.max("end").alias("_end"), F.min("slot").alias("_slot"))
+    part = part.join(sizes.select("_key", "size"), "_key")
+    cols = docs.columns
+    rows = docs.select(F.monotonically_increasing_id().alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(cols)]).join(part, "_key")
+    t = F.col(f"_c{cols.index(text)}")
+    cut = (F.col("_start") > 0) | (F.col("_end") < F.col("size"))
+    words = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(f"({WORD})"), 1), (F.col("_start") + 1).cast("int"), (F.col("_end") - F.col("_start")).cast("int")), " ")
+    rows = rows.withColumn("_t", F.when(cut, words).otherwise(t))
+    out = {c: F.col(f"_c{i}") for i, c in enumerate(cols)}
+    out[text] = F.col("_t")
+    if length in out:
+        out[length] = F.when(cut, F.length("_t").cast("long")).otherwise(out[length])
+    return rows.select(*[v.alias(c) for c, v in out.items()])
+
+
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     schedule, sizes = mix(docs)

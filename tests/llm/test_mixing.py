@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from spectraloom.llm.mixing import mix, n_words
+from spectraloom.llm.mixing import mix, mixed_documents, n_words
 
 
 def targets(sizes, weights=(1, 2, 3), cap=3):
@@ -74,3 +74,20 @@ def test_n_words(spark):
     texts = [None, "", " ", "a", "a  b\tc\n\x0b\x0c\rd", "é\xa0x y", "x" * 50 + " x"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert [r[0] for r in df.select(n_words(F.col("t"))).collect()] == [len((t or "").encode().split()) for t in texts]
+
+
+def test_mixed_documents(spark):
+    rng = random.Random(6)
+    rows = [(i, f"  {i} " + "\n".join(f"w{rng.randint(0, 9)}" for _ in range(rng.randint(0, 60))), rng.choice("ab"), 1) for i in range(120)] + [(500, None, "a", 0)]
+    df = docs_of(spark, rows)
+    schedule, found = mix(df)
+    taken = Counter()
+    for r in schedule.collect():
+        taken[r._key] += r.end - r.start
+    sizes = Counter()
+    for r in mixed_documents(df, length="size").collect():
+        text = rows[r.doc_id][1]
+        if r.text != text:
+            assert text.split()[: len(r.text.split())] == r.text.split() and r.size == len(r.text)
+        sizes[r.doc_id] += len(r.text.split())
+    assert sum(sizes.values()) == sum(taken.values()) and 500 not in sizes
