@@ -10,16 +10,20 @@ goes to one half, the other half goes on from there by itself, down to unit stri
 of a text are never drawn, so a text costs about its number of distinct shingles, whatever the weights.
 
 Equal texts meet first, in partial sums; one of each stands for all. In a bucket (a band's slots alike) nobody is compared
-with everybody: each text is verified against one leader, in rounds over the components found so far, as long as a round
-links a fair part of what it tries. What is then left between components of a bucket is compared exactly, except pairs
-within its largest component's members. So every pair of a bucket is linked, tested, or within one class already.
+with everybody. First, each text is verified against one leader: of its buckets' members that whose buckets are fullest, so
+the middle of a group of edits. Then those left out have leaders among themselves, as long as a round links a fair part
+of what it tries. Last, exactly, what still lies in different components of a bucket. There each text is compared with the
+bucket's leader L: the overlap of two texts is at most the smaller of their overlaps with L, plus what they share beyond L. So if
+they share nothing beyond L, only few sizes can reach the threshold: those pairs are compared. If they do, enough of it
+must be shared that they share one of the rarest shingles that either has beyond L (prefix filter): those pairs are compared. All
+other pairs of a bucket are proven to be below the threshold.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
@@ -99,7 +103,7 @@ def _sign(shingle: int, bands: int, rows: int):
     def run(batches):
         for b in batches:
             raw, offs = C.buffers(b.column(1))
-            for i, j in C.steps(offs, 4 << 20):
+            for i, j in C.steps(offs, 3 << 19):
                 n = j - i
                 doc, g, w = shingles(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
                 slots = bag_signatures(*bag(doc, g), n, bands * rows)
@@ -122,34 +126,39 @@ def _sign(shingle: int, bands: int, rows: int):
     return run
 
 
-def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard index of two bags (sorted distinct hashes, counts)."""
-    total = int(a[1].sum() + b[1].sum())
-    _, ia, ib = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][ia], b[1][ib]).sum())
-    return both / (total - both) if total else 1.0
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Of two bags (sorted distinct hashes, counts): size of the overlap, the shingles that b has more often than a, and how much more."""
+    at = np.minimum(np.searchsorted(a[0], b[0]), max(len(a[0]) - 1, 0))
+    in_a = np.where(a[0][at] == b[0], a[1][at], 0) if len(a[0]) else np.zeros(len(b[0]), np.int64)
+    more = b[1] - in_a
+    return int(np.minimum(in_a, b[1]).sum()), b[0][more > 0], more[more > 0]
 
 
-def _verify(shingle: int, least: float):
+def _verify(shingle: int, least: float, beyond: bool):
     def bag_of(text: bytes):
         raw = np.frombuffer(text, np.uint8)
         _, g, c = bag(*shingles(raw, np.array([0, len(raw)]), shingle)[:2])
         return g, c
 
     def run(batches):
-        for b in batches:
-            known: dict[int, tuple] = {}
-            alike = []
-            for u, v, tu, tv in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
-                bags = []
-                for k, t in ((u, tu), (v, tv)):
-                    if (x := known.get(k)) is None:
-                        if len(known) >= 256:
-                            known.clear()
-                        x = known[k] = bag_of(t.as_buffer().to_pybytes())
-                    bags.append(x)
-                alike.append(likeness(*bags) >= least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_())], names=["u", "v", "alike"])
+        known: dict[int, tuple] = {}
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                b = whole.slice(lo, 500)
+                rows = []
+                for u, v, tu, tv in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                    bags = []
+                    for k, t in ((u, tu), (v, tv)):
+                        if (x := known.get(k)) is None:
+                            if len(known) >= 256:
+                                known.clear()
+                            x = known[k] = bag_of(t.as_buffer().to_pybytes())
+                        bags.append(x)
+                    both, more, extra = overlap(*bags)
+                    nu, nv = int(bags[0][1].sum()), int(bags[1][1].sum())
+                    rows.append((both >= least * (nu + nv - both), nv, both, more.view(np.int64) if beyond else None, extra if beyond else None))
+                alike, nv, both, more, extra = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(alike, pa.bool_()), pa.array(nv, pa.int64()), pa.array(both, pa.int64()), pa.array(more, pa.list_(pa.int64())), pa.array(extra, pa.list_(pa.int64()))], names=["u", "v", "alike", "nv", "both", "more", "extra"])
 
     return run
 
@@ -161,55 +170,80 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     them; null, empty and blank texts are one class as well. An empty table gives an empty one. Other columns pass unchanged;
     one named class_id is replaced. docs must be read the same way each time that it is computed, as files are.
     """
-    spark = docs.sparkSession
     keep = [c for c in docs.columns if c.lower() != "class_id"]
     src = docs.select(F.monotonically_increasing_id().alias("_key"), C.text_or_empty(docs[text]).alias("_text"))
     signed = C.materialize(src.mapInArrow(_sign(shingle, bands, rows), "_key long, d1 long, d2 long, keys array<long>"), "signatures")
     one = C.materialize(signed.groupBy("d1", "d2").agg(F.min("_key").alias("rep"), F.first("keys").alias("keys")), "representatives")
     entries = one.select("rep", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    entries = C.materialize(entries.join(shared, "bucket"), "entries")
-    texts = C.materialize(src.join(entries.select(F.col("rep").alias("_key")).distinct(), "_key").select("_key", F.col("_text").cast("binary").alias("_text")), "candidates")
+    shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+    full = entries.join(shared, "bucket").groupBy("rep").agg(F.sum("n").alias("score"), F.collect_list("bucket").alias("b"))
+    entries = C.materialize(full.select("rep", F.struct((-F.col("score")).alias("s"), F.xxhash64("rep").alias("h"), "rep").alias("order"), F.explode("b").alias("bucket")), "entries")
+    texts = C.materialize(src.join(entries.select(F.col("rep").alias("_key")).distinct().hint("merge"), "_key").select("_key", F.col("_text").cast("binary").alias("_text")), "candidates")
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, beyond: bool = False) -> DataFrame:
         t = texts.select(F.col("_key").alias("v"), F.col("_text").alias("tv"))
         s = texts.select(F.col("_key").alias("u"), F.col("_text").alias("tu"))
-        both = pairs.join(t, "v").join(s, "u").select("u", "v", "tu", "tv")
-        return C.materialize(both.mapInArrow(_verify(shingle, least), "u long, v long, alike boolean"), "verified")
-
-    def labelled(links: DataFrame | None) -> DataFrame:
-        """entries of the buckets that still hold several components, with each row's component."""
-        if links is None:
-            return entries.withColumn("comp", F.col("rep"))
-        own = components(links.filter("alike").select("u", "v")).toDF("rep", "comp")
-        e = entries.join(own, "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
-        several = e.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("bucket")
+        both = pairs.join(s, "u").join(t, "v").select("u", "v", "tu", "tv")
+        return C.materialize(both.mapInArrow(_verify(shingle, least, beyond), "u long, v long, alike boolean, nv long, both long, more array<long>, extra array<long>"), "verified")
+
+    def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
+        for u, v in (("u", "v"), ("v", "u")):
+            pairs = pairs.join(tested.select(F.col(u).alias("u"), F.col(v).alias("v")), ["u", "v"], "left_anti")
+        return pairs
+
+    def labelled(tested: DataFrame) -> DataFrame:
+        """entries of the buckets that still hold several components: with own component and the largest one there."""
+        own = components(tested.filter("alike").select("u", "v")).toDF("rep", "comp")
+        e = entries.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        size = e.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        several = size.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("m")).filter("k > 1").select("bucket", F.col("m.comp").alias("main"))
         return C.materialize(e.join(several, "bucket"), "labelled")
 
-    tested, turn = None, 0
-    live = labelled(None)
+    lead = entries.groupBy("bucket").agg(F.min("order").alias("l"))
+    leaders = entries.join(lead, "bucket").groupBy("rep").agg(F.min("l").alias("l")).select("rep", F.col("l.rep").alias("leader"))
+    first = verified(leaders.filter("rep != leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")), beyond=True)
+    tested = first.select("u", "v", "alike")
     while True:
-        order = F.struct(F.xxhash64("rep", F.lit(turn)).alias("o"), F.col("rep").alias("leader"), F.col("comp").alias("leader_comp"))
-        lead = live.groupBy("bucket").agg(F.min(order).alias("l")).select("bucket", "l.*")
-        pairs = live.join(lead, "bucket").filter("comp != leader_comp").groupBy("rep").agg(F.min(F.struct("o", "leader")).alias("l")).select(F.col("l.leader").alias("u"), F.col("rep").alias("v"))
-        if tested is not None:
-            pairs = pairs.join(tested.select("u", "v"), ["u", "v"], "left_anti").join(tested.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-        new = verified(pairs)
-        n, linked = new.agg(F.count("*"), F.coalesce(F.sum(F.col("alike").cast("int")), F.lit(0))).first()
-        tested = new if tested is None else tested.union(new)
         live = labelled(tested)
-        turn += 1
+        rest = live.filter("comp != main")
+        lead = rest.groupBy("bucket").agg(F.min(F.struct("order", "comp")).alias("l")).select("bucket", F.col("l.order").alias("lo"), F.col("l.comp").alias("lc"))
+        pairs = rest.join(lead, "bucket").filter("comp != lc").groupBy("rep").agg(F.min("lo").alias("l")).select(F.col("l.rep").alias("u"), F.col("rep").alias("v"))
+        new = verified(untested(pairs, tested))
+        n, linked = new.agg(F.count("*"), F.coalesce(F.sum(F.col("alike").cast("int")), F.lit(0))).first()
+        tested = tested.union(new.select("u", "v", "alike"))
         if linked <= go_on * n:
             break
-    # the rest, exactly: rows outside of their bucket's largest component against all rows of other components there
-    size = live.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-    main = size.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-    rest = live.join(main, "bucket")
-    out = rest.filter("comp != main").select("bucket", F.col("rep").alias("p"), F.col("comp").alias("pc"))
-    pairs = out.join(live, "bucket").filter("pc != comp").select(F.least("p", "rep").alias("u"), F.greatest("p", "rep").alias("v")).distinct()
-    for u, v in (("u", "v"), ("v", "u")):
-        pairs = pairs.join(tested.select(F.col(u).alias("u"), F.col(v).alias("v")), ["u", "v"], "left_anti")
-    final = tested.union(verified(pairs))
+    if linked:
+        live = labelled(tested)
+    # the rest, exactly: all against their bucket's leader, and by that, against each other
+    lead = live.groupBy("bucket").agg(F.min("order").alias("l")).select("bucket", F.col("l.rep").alias("leader"))
+    alive = live.join(lead, "bucket").groupBy("leader", "rep", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out"))
+    alive = C.materialize(alive.filter("leader != rep"), "alive")
+    done = first.join(alive.select(F.col("leader").alias("u"), F.col("rep").alias("v")), ["u", "v"])
+    new = verified(alive.select(F.col("leader").alias("u"), F.col("rep").alias("v")).join(first.select("u", "v"), ["u", "v"], "left_anti"), beyond=True)
+    tested = tested.union(new.select("u", "v", "alike"))
+    alive = C.materialize(alive.join(done.unionByName(new).select(F.col("u").alias("leader"), F.col("v").alias("rep"), "nv", "both", "more", "extra"), ["leader", "rep"]), "beyond")
+    step = F.lit(1.05)
+    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / F.log(step))
+    # overlap o reaches `least` only if o (1 + least) >= least (pn + nv); without anything shared beyond, o <= min(pb, both)
+    mine = alive.filter("out").select("leader", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("nv").alias("pn"), F.col("both").alias("pb"))
+    lo, hi = F.col("pn") * least, F.col("pb") * ((1 + least) / least) - F.col("pn")
+    sizes = mine.filter(hi >= lo).select("*", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
+    near = sizes.join(alive.select("leader", "rep", "comp", "nv", "both", cell(F.col("nv")).alias("cell")), ["leader", "cell"]).filter((F.col("pc") != F.col("comp")) & (F.least("pb", "both") * (1 + least) >= (F.col("pn") + F.col("nv")) * least - 1e-6))
+    # a text of n shingles, b of them in L, has to share n least - b of the n - b beyond: one of the first n (1 - least) and one more
+    beyond = alive.select("leader", "rep", "comp", "out", "nv", "both", F.explode(F.arrays_zip("more", "extra")).alias("m")).select("leader", "rep", "comp", "out", "nv", "both", F.col("m.more").alias("x"), F.col("m.extra").alias("w"))
+    often = beyond.groupBy("leader", "x").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("leader", "rep").orderBy("df", "x").rowsBetween(Window.unboundedPreceding, -1)
+    rare = beyond.join(often, ["leader", "x"]).withColumn("before", F.coalesce(F.sum("w").over(own), F.lit(0))).filter((F.col("before") <= F.col("nv") * (1 - least) + 1e-6) & (F.col("df") > 1))
+    # x the first that two share, they share at most what each has from there on; that bounds the other's size as well
+    rare = C.materialize(rare.select("leader", "x", "rep", "comp", "out", "nv", "both", (F.col("nv") - F.col("both") - F.col("before")).alias("left")), "rare")
+    mine = rare.filter("out").select("leader", "x", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("nv").alias("pn"), F.col("both").alias("pb"), F.col("left").alias("pl"))
+    lo, hi = F.col("pn") * least, (F.col("pb") + F.col("pl")) * ((1 + least) / least) - F.col("pn")
+    mine = mine.filter(hi >= lo).select("*", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
+    more = mine.join(rare.withColumn("cell", cell(F.col("nv"))), ["leader", "x", "cell"]).filter((F.col("pc") != F.col("comp")) & ((F.least("pb", "both") + F.least("pl", "left")) * (1 + least) >= (F.col("pn") + F.col("nv")) * least - 1e-6))
+    same = near.select("p", "rep").union(more.select("p", "rep")).select(F.least("p", "rep").alias("u"), F.greatest("p", "rep").alias("v"))
+    last = verified(untested(same.distinct(), tested))
+    final = tested.union(last.select("u", "v", "alike"))
     comp = components(final.filter("alike").select("u", "v")).toDF("rep", "comp")
     of_text = one.select("d1", "d2", "rep").join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("class_id"))
     classes = signed.select("_key", "d1", "d2").join(of_text, ["d1", "d2"]).select("_key", "class_id")
@@ -221,7 +255,6 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw)
     """One row of each near-duplicate class: that with the smallest `key` (nulls last), of equal ones any. Columns as in docs.
 
     The rows are told apart by their place, so equal rows give one."""
-    spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[text].alias("_text"), docs[key].alias("_id"))
     found = near_duplicate_classes(rows, text="_text", **kw).select("_row", "_id", "class_id")
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))

@@ -11,6 +11,8 @@ from ..operators import joins as jo
 from ..sources import tables as tb
 from ..sources.tables import sql as _sql
 from ..streaming import merge as mg
+from . import more
+from .sqltext import PARTS, count_sql
 
 FLAGSHIP = "region_aggregation"
 
@@ -89,11 +91,7 @@ f AS (SELECT *, {value} AS fdr FROM r),
 c AS (SELECT *, LEAST(MIN(fdr) OVER (PARTITION BY {pool} ORDER BY score DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 1.0) AS q_value FROM f) """
 
 
-def _count(letters: dict, seq: str = "sequence") -> str:
-    return "(" + " + ".join(f"(length({seq}) - length(replace({seq}, '{k}', ''))) * CAST({v!r} AS DOUBLE)" for k, v in letters.items()) + ")"
-
-
-_PARTS = "list_filter(string_split(replace(regexp_replace(sequence, '([KR])', '\\1|', 'g'), '|P', 'P'), '|'), lambda x: x <> '')"
+_PARTS, _count = PARTS, count_sql
 _CHARGE = {k: z / (1 + 10.0 ** (z * (7.0 - pk))) for k, (pk, z) in ch._PK.items()}
 _ENDS = sum(z / (1 + 10.0 ** (z * (7.0 - pk))) for pk, z in ch._PK_ENDS)
 
@@ -170,4 +168,5 @@ SELECT peptide, 'b' AS ion, position, round({_count(ch.RESIDUES, 'left(peptide,
     "missed_cleavages": f"SELECT CAST(len({_PARTS}) - 1 AS BIGINT) AS missed, COUNT(*) AS n FROM sequences GROUP BY 1",
     "merge_spectra": "SELECT run_id, CAST(floor(rt / 10.0) AS BIGINT) AS rt_cell, CAST(floor(mz / 10.0) AS BIGINT) AS mz_cell, round(SUM(intensity), 4) AS intensity, COUNT(*) AS n FROM peaks GROUP BY ALL",
 }
-SQL = {k: _sql(v) for k, v in SQL.items()}
+SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL
+QUERIES |= more.QUERIES

@@ -48,6 +48,17 @@ def corpus():
             for _ in range(rng.randint(0, 5)):
                 w[rng.randrange(len(w))] = word()
             texts.append(" ".join(w))
+    # a group whose members are alike to its middle only, and some of them just not
+    base = [word() for _ in range(120)]
+    texts.append(" ".join(base))
+    for n in range(40):
+        w = list(base)
+        for i in rng.sample(range(0, 120, 5), 1 + n % 5):
+            w[i] = word()
+        texts.append(" ".join(w))
+        if n % 8 == 7:  # shares what its fellow has beyond the middle
+            w[1] = word()
+            texts.append(" ".join(w))
     return texts + [texts[8]] * 3
 
 
