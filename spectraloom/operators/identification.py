@@ -21,21 +21,40 @@ def filter_hits(hits: DataFrame, least: float | None = None, decoys: bool = True
     return hits.filter(F.col("charge").isin(*charges)) if charges is not None else hits
 
 
-def _cumulative(curve: DataFrame, pool: list[str], value) -> DataFrame:
-    """Running counts from the best score, value of them, and its minimum from the worst."""
-    down = Window.partitionBy(*pool).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    up = Window.partitionBy(*pool).orderBy(F.desc("score")).rowsBetween(0, Window.unboundedFollowing)
-    c = curve.withColumn("T", F.sum("t").over(down)).withColumn("D", F.sum("d").over(down)).withColumn("fdr", value(F.col("T"), F.col("D")))
-    return c.withColumn("q_value", F.least(F.min("fdr").over(up), F.lit(1.0)))
+CHUNKS = 256
+
+
+def running_curve(curve: DataFrame, pool: list[str], counts: list[str], value, by: str = "score") -> DataFrame:
+    """curve (pool, by, counts) with value (of the counts' running sums from the best score on) and its minimum over worse scores.
+
+    value: name -> Column over the sums. Scores are dealt to ranges by approximate quantiles of their pool; sums and minima run within a
+    range and over the ranges, of which a pool has few, so that no pool's scores meet in one task, however many they are."""
+    pool = pool or ["_pool"]
+    curve = curve if set(pool) <= set(curve.columns) else curve.withColumn("_pool", F.lit(0))
+    cuts = curve.groupBy(*pool).agg(F.percentile_approx(by, [i / CHUNKS for i in range(1, CHUNKS)], 10_000).alias("_cuts"))
+    c = curve.join(cuts, pool).withColumn("_chunk", F.size(F.filter("_cuts", lambda x: x >= F.col(by)))).drop("_cuts")
+    down = Window.partitionBy(*pool, "_chunk").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
+    up = Window.partitionBy(*pool, "_chunk").orderBy(F.desc(by)).rowsBetween(0, Window.unboundedFollowing)
+    before = Window.partitionBy(*pool).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*pool).orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    base = c.groupBy(*pool, "_chunk").agg(*[F.sum(k).alias(f"_s_{k}") for k in counts])
+    base = base.select(*pool, "_chunk", *[F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in counts])
+    c = c.join(base, [*pool, "_chunk"])
+    for k in counts:
+        c = c.withColumn(f"run_{k}", F.sum(k).over(down) + F.col(f"_b_{k}"))
+    c = c.withColumn("fdr", value(*[F.col(f"run_{k}") for k in counts])).withColumn("_low", F.min("fdr").over(up))
+    low = c.groupBy(*pool, "_chunk").agg(F.min("fdr").alias("_m"))
+    low = low.select(*pool, "_chunk", F.min("_m").over(after).alias("_later"))
+    return c.join(low, [*pool, "_chunk"]).withColumn("q_value", F.least("_low", "_later", F.lit(1.0))).drop("_chunk", "_low", "_later", "_pool", *[f"_b_{k}" for k in counts])
 
 
 def score_curve(hits: DataFrame, pool: list[str], kind: str = "conservative") -> DataFrame:
     """(pool, score, fdr, q_value) at each distinct score: (D + 1) / (T + 1), (D + 1) / (T + D + 1) or D / T (legacy).
 
-    Scores are first counted, so a window sees each distinct score once, not each hit. Pools are runs or charges."""
+    Scores are first counted, so the sums run over each distinct score once, not each hit."""
     value = {"conservative": lambda t, d: (d + 1) / (t + 1), "basic": lambda t, d: (d + 1) / (t + d + 1), "legacy": lambda t, d: F.when(t > 0, d / t).otherwise(1.0)}[kind]
     counts = hits.groupBy(*pool, "score").agg(F.sum(1 - F.col("decoy").cast("int")).alias("t"), F.sum(F.col("decoy").cast("int")).alias("d"))
-    return _cumulative(counts, pool, value).select(*pool, "score", "fdr", "q_value")
+    return running_curve(counts, pool, ["t", "d"], value).select(*pool, "score", "fdr", "q_value")
 
 
 def apply_fdr(hits: DataFrame, pool: list[str], kind: str = "conservative", keep_decoys: bool = False) -> DataFrame:
@@ -58,8 +77,8 @@ def protein_scores(hits: DataFrame) -> DataFrame:
 def picked_competition(hits: DataFrame) -> DataFrame:
     """Target or decoy of each accession, whichever has the better best score (targets win ties), and its FDR."""
     best = hits.groupBy("accession").agg(F.max(F.when(~F.col("decoy"), F.col("score"))).alias("t"), F.max(F.when(F.col("decoy"), F.col("score"))).alias("d"))
-    one = best.select("accession", F.greatest("t", "d").alias("score"), (F.coalesce("t", F.lit(float("-inf"))) < F.coalesce("d", F.lit(float("-inf")))).alias("decoy")).withColumn("pool", F.lit(0))
-    return apply_fdr(one, ["pool"], "conservative", True).drop("pool")
+    one = best.select("accession", F.greatest("t", "d").alias("score"), (F.coalesce("t", F.lit(float("-inf"))) < F.coalesce("d", F.lit(float("-inf")))).alias("decoy"))
+    return apply_fdr(one, [], "conservative", True)
 
 
 def consensus(hits: DataFrame, engines: str = "run_id") -> DataFrame:

@@ -17,12 +17,12 @@ def candidates(peptides: DataFrame, precursors: DataFrame, tolerance: float, cel
 
 
 def match_ions(peaks: DataFrame, psms: DataFrame, tolerance: float) -> DataFrame:
-    """(spectrum_id, peptide, ion, position, intensity, error): for each b or y ion the nearest peak within tolerance (ties: the lower m/z)."""
+    """(spectrum_id, peptide, ion, position, intensity, error, peak_id): for each b or y ion the nearest peak within tolerance (ties: the lower m/z)."""
     ions = ch.fragment_ions(psms.select("peptide").distinct())
     want = psms.select("spectrum_id", "peptide").join(ions.withColumnRenamed("mz", "ion_mz"), "peptide")
-    near = range_join(peaks.select("spectrum_id", "mz", "intensity"), want, "mz", F.col("ion_mz") - tolerance, F.col("ion_mz") + tolerance, max(1.0, 2 * tolerance), ("spectrum_id",))
-    o = Window.partitionBy("spectrum_id", "peptide", "ion", "position").orderBy(F.abs(F.col("mz") - F.col("ion_mz")), "mz", F.desc("intensity"))
-    return near.withColumn("_r", F.row_number().over(o)).filter("_r = 1").select("spectrum_id", "peptide", "ion", "position", "intensity", F.abs(F.col("mz") - F.col("ion_mz")).alias("error"))
+    near = range_join(peaks.select("spectrum_id", "peak_id", "mz", "intensity"), want, "mz", F.col("ion_mz") - tolerance, F.col("ion_mz") + tolerance, max(1.0, 2 * tolerance), ("spectrum_id",))
+    o = Window.partitionBy("spectrum_id", "peptide", "ion", "position").orderBy(F.abs(F.col("mz") - F.col("ion_mz")), "mz", F.desc("intensity"), "peak_id")
+    return near.withColumn("_r", F.row_number().over(o)).filter("_r = 1").select("spectrum_id", "peptide", "ion", "position", "intensity", F.abs(F.col("mz") - F.col("ion_mz")).alias("error"), "peak_id")
 
 
 def hyperscore(matches: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ QUERIES = {f"morphology_{m}": _morph(m) for m in ("erosion", "dilation", "openin
     "group_isotopes": lambda s, d: sg.group_isotopes(_traces(s, d), tolerance=0.3).select("run_id", "charge", *_r("mono_mz", "iso_mz", digits=5)),
     "hyperscore": lambda s, d: sc.hyperscore(sc.match_ions(tb.peaks(s, d), _psms(s, d), 0.5)).select("spectrum_id", "peptide", *_r("score", "mean_error"), "n_b", "n_y"),
     "morpheus_score": lambda s, d: sc.morpheus(sc.match_ions(tb.peaks(s, d), _psms(s, d), 0.5), tb.peaks(s, d)).select("spectrum_id", "peptide", *_r("score")),
-    "precursor_candidates": lambda s, d: sc.candidates(_psms(s, d).select("peptide").distinct(), tb.features(s, d).filter("charge = 2").select(F.col("feature_id").alias("spectrum_id"), F.col("mz").alias("precursor_mass")), 0.25).select("spectrum_id", "peptide", *_r("mass")),
+    "precursor_candidates": lambda s, d: sc.candidates(_psms(s, d).select("peptide").distinct(), tb.features(s, d).select(F.col("feature_id").alias("spectrum_id"), F.col("mz").alias("precursor_mass")), 0.25).select("spectrum_id", "peptide", *_r("mass")),
     "index_peptides": lambda s, d: sc.index_peptides(_psms(s, d), tb.sequences(s, d)).select("peptide", "accession", F.col("start").cast("long").alias("start")),
     "sequence_coverage": lambda s, d: sc.sequence_coverage(ch.digest(tb.sequences(s, d), 0, 4, 9).select("accession", "peptide"), tb.sequences(s, d)).select("accession", *_r("coverage")),
     "resolve_shared": lambda s, d: sc.resolve_shared(ch.digest(tb.sequences(s, d), 0, 2, 12).select("peptide", "accession"), tb.sequences(s, d).select("accession", F.length("sequence").alias("score"))).select("peptide", "accession", F.col("score").cast("long").alias("score")),
@@ -74,7 +74,7 @@ SELECT spectrum_id, peptide, round(ln(1 + dot) + ln(factorial(CAST(n_b AS INTEGE
     "morpheus_score": _PSM + """, t AS (SELECT spectrum_id, SUM(intensity) AS tic FROM peaks GROUP BY 1)
 SELECT spectrum_id, peptide, round(COUNT(*) + CASE WHEN any_value(tic) > 0 THEN SUM(intensity) / any_value(tic) ELSE 0.0 END, 4) AS score FROM m JOIN t USING (spectrum_id) GROUP BY ALL""",
     "precursor_candidates": f"""WITH p AS (SELECT DISTINCT peptide FROM (SELECT unnest({PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 4 AND 12), q AS (SELECT peptide, {count_sql(ch.RESIDUES, 'peptide')} + {ch.WATER!r} AS mass FROM p)
-SELECT feature_id AS spectrum_id, peptide, round(mass, 4) AS mass FROM features JOIN q ON mass >= mz - 0.25 AND mass <= mz + 0.25 WHERE charge = 2""",
+SELECT feature_id AS spectrum_id, peptide, round(mass, 4) AS mass FROM features JOIN q ON mass >= mz - 0.25 AND mass <= mz + 0.25""",
     "index_peptides": f"""WITH p AS (SELECT accession, {PARTS} AS p FROM sequences), s AS (SELECT accession, p, unnest(range(0, len(p))) AS start FROM p), d AS (SELECT *, unnest([0, 1, 2]) AS missed FROM s),
 e AS (SELECT accession, array_to_string(list_slice(p, start + 1, start + 1 + missed), '') AS peptide, start FROM d WHERE start + missed < len(p)),
 q AS (SELECT DISTINCT peptide FROM (SELECT unnest(p) AS peptide FROM p) WHERE length(peptide) BETWEEN 4 AND 12) SELECT peptide, accession, start FROM e JOIN q USING (peptide)""",

@@ -11,7 +11,7 @@ from ..operators import joins as jo
 from ..sources import tables as tb
 from ..sources.tables import sql as _sql
 from ..streaming import merge as mg
-from . import more
+from . import extra, more
 from .sqltext import PARTS, count_sql
 
 FLAGSHIP = "region_aggregation"
@@ -26,8 +26,7 @@ def _peaks(f, *extra):
 
 
 def _precursors(s, d):
-    p = tb.peaks(s, d)
-    return p.filter("peak_id % 8 = 1").select("spectrum_id", F.col("peak_id").alias("precursor_id"), F.col("mz").alias("precursor_mz"))
+    return tb.peaks(s, d).select("spectrum_id", F.col("peak_id").alias("precursor_id"), F.col("mz").alias("precursor_mz"))
 
 
 def _targets(s, d):
@@ -57,7 +56,7 @@ QUERIES = {
     "extract_chromatograms": lambda s, d: jo.extract_chromatograms(tb.peaks(s, d), _targets(s, d)).select("target", "run_id", "rt", *_r("intensity"), "n"),
     "precursor_purity": lambda s, d: jo.precursor_purity(tb.peaks(s, d), _precursors(s, d), 0.5, 10.0).select("precursor_id", *_r("total", "target", "purity"), "n_peaks"),
     "link_features": lambda s, d: jo.link_features(tb.features(s, d).filter("map_id = 0"), tb.features(s, d).filter("map_id = 1"), 2.0, 100.0).select("a_id", "b_id", *_r("d")),
-    "nearest_before": lambda s, d: jo.nearest_before(tb.features(s, d).filter("map_id = 0").select("charge", "rt", "feature_id"), tb.features(s, d).filter("map_id = 1 AND feature_id < 2000").select("charge", "rt", "mz"), "charge", "rt", "mz").select("feature_id", *_r("mz_before")),
+    "nearest_before": lambda s, d: jo.nearest_before(tb.features(s, d).filter("map_id = 0").select("charge", "rt", "feature_id"), tb.features(s, d).filter("map_id = 1").groupBy("charge", "rt").agg(F.avg("mz").alias("mz")), "charge", "rt", "mz").select("feature_id", *_r("mz_before")),
     "linear_alignment": lambda s, d: jo.linear_alignment(tb.features(s, d).withColumn("y", F.col("rt") * 1.02 + 3 + F.col("charge")), "rt", "y").select(*_r("slope", "intercept"), "n"),
     "normalize_median": lambda s, d: jo.normalize_median(tb.features(s, d)).select("map_id", "feature_id", *_r("intensity", digits=2)),
     "binned_cosine": lambda s, d: jo.binned_cosine(tb.peaks(s, d), tb.peaks(s, d).select(F.col("spectrum_id").alias("a")).distinct().select("a", (F.col("a") + 1).alias("b"))).select("a", "b", *_r("cosine")),
@@ -131,13 +130,13 @@ FROM regions r LEFT JOIN peaks p ON p.mz BETWEEN mz_low AND mz_high AND p.rt BET
     "experiment_summary": "SELECT run_id, round(MIN(mz), 4) AS mz_low, round(MAX(mz), 4) AS mz_high, round(MIN(rt), 4) AS rt_low, round(MAX(rt), 4) AS rt_high, round(MAX(intensity), 4) AS highest FROM peaks GROUP BY run_id",
     "extract_chromatograms": """WITH t AS (SELECT s_suppkey AS target, s_suppkey % 997 * CAST(0.9 AS DOUBLE) + 20.0 AS target_mz FROM supplier)
 SELECT target, run_id, rt, round(SUM(intensity), 4) AS intensity, COUNT(*) AS n FROM peaks JOIN t ON mz >= target_mz - target_mz * CAST(0.001 AS DOUBLE) AND mz <= target_mz + target_mz * CAST(0.001 AS DOUBLE) GROUP BY ALL""",
-    "precursor_purity": """WITH c AS (SELECT spectrum_id, peak_id AS precursor_id, mz AS precursor_mz FROM peaks WHERE peak_id % 8 = 1),
+    "precursor_purity": """WITH c AS (SELECT spectrum_id, peak_id AS precursor_id, mz AS precursor_mz FROM peaks),
 s AS (SELECT precursor_id, SUM(intensity) AS total, SUM(CASE WHEN abs(mz - precursor_mz) <= 0.5 THEN intensity ELSE 0.0 END) AS target, COUNT(*) AS n_peaks FROM peaks JOIN c USING (spectrum_id) WHERE mz BETWEEN precursor_mz - 5.0 AND precursor_mz + 5.0 GROUP BY 1)
 SELECT precursor_id, round(total, 4) AS total, round(target, 4) AS target, round(CASE WHEN total > 0 THEN target / total ELSE 0.0 END, 4) AS purity, n_peaks FROM s""",
     "link_features": """WITH d AS (SELECT a.feature_id AS a_id, b.feature_id AS b_id, pow((a.mz - b.mz) / 2.0, 2) + pow((a.rt - b.rt) / 100.0, 2) AS d FROM features a JOIN features b
 ON a.map_id = 0 AND b.map_id = 1 AND a.charge = b.charge AND abs(a.rt - b.rt) <= 100.0 AND a.mz >= b.mz - 2.0 AND a.mz <= b.mz + 2.0)
 SELECT a_id, b_id, round(d, 4) AS d FROM d QUALIFY row_number() OVER (PARTITION BY a_id ORDER BY d.d, b_id) = 1 AND row_number() OVER (PARTITION BY b_id ORDER BY d.d, a_id) = 1""",
-    "nearest_before": """WITH l AS (SELECT charge, rt, feature_id FROM features WHERE map_id = 0), r AS (SELECT charge, rt, mz FROM features WHERE map_id = 1 AND feature_id < 2000)
+    "nearest_before": """WITH l AS (SELECT charge, rt, feature_id FROM features WHERE map_id = 0), r AS (SELECT charge, rt, AVG(mz) AS mz FROM features WHERE map_id = 1 GROUP BY ALL)
 SELECT feature_id, round(r.mz, 4) AS mz_before FROM l ASOF LEFT JOIN r ON l.charge = r.charge AND l.rt >= r.rt""",
     "linear_alignment": "SELECT round(regr_slope(rt * CAST(1.02 AS DOUBLE) + 3 + charge, rt), 4) AS slope, round(regr_intercept(rt * CAST(1.02 AS DOUBLE) + 3 + charge, rt), 4) AS intercept, COUNT(*) AS n FROM features",
     "normalize_median": "WITH m AS (SELECT map_id, quantile_cont(intensity, 0.5) AS m FROM features GROUP BY 1) SELECT map_id, feature_id, round(intensity * ((SELECT m FROM m WHERE map_id = 0) / m), 2) AS intensity FROM features JOIN m USING (map_id)",
@@ -168,5 +167,5 @@ SELECT peptide, 'b' AS ion, position, round({_count(ch.RESIDUES, 'left(peptide,
     "missed_cleavages": f"SELECT CAST(len({_PARTS}) - 1 AS BIGINT) AS missed, COUNT(*) AS n FROM sequences GROUP BY 1",
     "merge_spectra": "SELECT run_id, CAST(floor(rt / 10.0) AS BIGINT) AS rt_cell, CAST(floor(mz / 10.0) AS BIGINT) AS mz_cell, round(SUM(intensity), 4) AS intensity, COUNT(*) AS n FROM peaks GROUP BY ALL",
 }
-SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL
-QUERIES |= more.QUERIES
+SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL | extra.SQL
+QUERIES |= more.QUERIES | extra.QUERIES
