@@ -106,3 +106,23 @@ def test_filter_is_left_to_right(spark):
     assert df.filter(rn.build_filter([])).count() == 4
     with pytest.raises(KeyError):
         rn.build_filter([("a", "~", 1)])
+
+
+def test_isotopes_and_compositions(spark):
+    from spectraloom.functions import chemistry as ch
+    from spectraloom.operators import assignments as asg
+
+    (r,) = asg.peptide_isotopes(spark.createDataFrame([("PEPTIDE",)], "peptide string")).collect()
+    assert np.allclose(r.isotopes, ch.isotope_pattern("C34H53N7O15"))
+    assert abs(ch.formula_mass("C34H53N7O15") - 799.359964) < 1e-4
+    alphabet = {"A": 3.0, "B": 5.0, "C": 7.5}
+    df = spark.createDataFrame([(1, 15.0), (2, 1.0), (3, 7.6)], "id long, mass double")
+    got = {(r.id, r.composition) for r in asg.compositions(df, alphabet, 0.2).collect()}
+    want = set()
+    for i, m in ((1, 15.0), (2, 1.0), (3, 7.6)):
+        for a in range(6):
+            for b in range(4):
+                for c in range(3):
+                    if a + b + c and abs(3 * a + 5 * b + 7.5 * c - m) <= 0.2:
+                        want.add((i, " ".join(f"{k}{n}" for k, n in (("C", c), ("B", b), ("A", a)) if n)))
+    assert got == want
