@@ -1,4 +1,4 @@
-"""Byte-level BPE ids of whole texts: chunks of a text that the tokenizer can't join are looked up in a bounded cache."""
+"""Byte-level BPE ids of whole texts."""
 
 from __future__ import annotations
 
@@ -9,8 +9,11 @@ import numpy as np
 
 #: White space as the tokenizer's pattern has it (Unicode White_Space).
 _WS = "\t-\r \x85\xa0  -     　"
-#: The tokenizer's pattern cuts before each run of non-space with its one leading space, so no token spans two of these.
+#: The tokenizer's pattern cuts before each run of non-space with its one leading space, so no token spans two of these; a chunk that ends in white space is all white space and one piece.
 _CHUNK = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+_SPACE = re.compile(f"[{_WS}]")
+_LONGEST = 4096
+_LONG = re.compile(f"[{_WS}]{{{_LONGEST}}}")
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -25,12 +28,12 @@ def _alphabet() -> dict[str, int]:
     return out
 
 
-class ByteBpe(dict):
+class ByteBpe:
     """encode(text) -> ids as little-endian unsigned 32-bit bytes. Strings of special tokens are ordinary text.
 
-    vocabulary: a tokenizers JSON file of byte-level BPE whose ids are in the order of merging. The dict is the cache."""
+    vocabulary: a tokenizers JSON file of byte-level BPE whose ids are in the order of merging."""
 
-    def __init__(self, vocabulary: str, most: int = 300_000):
+    def __init__(self, vocabulary: str):
         import tiktoken
 
         with open(vocabulary, encoding="utf-8") as f:
@@ -38,19 +41,14 @@ class ByteBpe(dict):
         special = {t["id"] for t in model.get("added_tokens", [])}
         byte = _alphabet()
         ranks = {bytes(byte[c] for c in t): i for t, i in model["model"]["vocab"].items() if i not in special}
-        self._encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._most = most
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self._encode(chunk), "<u4").tobytes()
-        if len(chunk) <= 64:
-            if len(self) >= self._most:
-                self.clear()
-            self[chunk] = ids
-        return ids
+        own = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode, self._piece = own.encode_ordinary, own._encode_single_piece
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, _CHUNK.findall(text)))
+        if len(text) < _LONGEST or _LONG.search(text) is None:
+            return np.array(self._encode(text), "<u4").tobytes()
+        # the pattern's engine keeps a state for each character of white space, of which it has room for a limited number
+        return b"".join(np.array(self._piece(c) if _SPACE.match(c[-1]) else self._encode(c), "<u4").tobytes() for c in _CHUNK.findall(text))
 
 
 _loaded: dict[str, ByteBpe] = {}

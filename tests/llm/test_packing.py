@@ -20,6 +20,9 @@ def test_ids_as_the_tokenizer():
     for _ in range(500):
         s = "".join(rng.choice(some) for _ in range(rng.randint(0, 30)))
         assert np.frombuffer(b.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, repr(s)
+    for s in (" " * 300_000, " \n" * 40_000 + "x" + "\t" * 70_000 + " y", "ab " * 9000 + "\u3000" * 5000, "z" * 50_000):
+        assert np.frombuffer(b.encode(s), "<u4").tolist() == t.encode(s, add_special_tokens=False).ids, len(s)
+    assert len(b.encode(" " * 2_000_000)) > 0
 
 
 def test_islands_reach_the_bound():
