@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 _START, _END = "<|im_start|>", "<|im_end|>\n"
 _STOP = len(_END) - 1  # the end mark is learnt, the line end isn't
 
@@ -53,7 +55,7 @@ def rotate(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     grouped = rows.groupBy("_conv", "part").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("_turn", F.lit(-(1 << 62))).alias("t"), "speaker", "text"))).alias("turns"))
     who = rows.filter("speaker != 'system'").select("_conv", "speaker").distinct().groupBy("_conv").agg(F.array_sort(F.collect_list("speaker")).alias("who"))
     of_part = rows.select("_conv", "part").distinct().join(who, "_conv")
-    out = grouped.join(of_part, ["_conv", "part"]).select("_conv", "part", "turns", "who").mapInArrow(_rotate, "_conv long, part long, perspective string, n_turns long, text string, mask_starts array<long>, mask_ends array<long>")
+    out = grouped.join(of_part, ["_conv", "part"]).select("_conv", "part", "turns", "who").transform(C.map_batches, _rotate, "_conv long, part long, perspective string, n_turns long, text string, mask_starts array<long>, mask_ends array<long>")
     return out.withColumnRenamed("_conv", conv)
 
 

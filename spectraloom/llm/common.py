@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 
 import numpy as np
@@ -16,6 +18,8 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Bytes that one vectorised step works on; a longer text makes a step of its own.
 STEP_BYTES = 1 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +39,29 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tidy(run):
+    """run; at a partition's end, memory that it has left goes back to the system, as workers live on for other tasks."""
+
+    def whole(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+            trim(0)
+
+    return whole
+
+
+def map_batches(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), by batches of 4 MB at most: the JVM and Python hold some of them for each task.
+
+    The session's own limit stays where it is lower; else it is set to this."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    n, unit = re.fullmatch(r"(-?\d+)([kmgt]?)i?b?", conf.get(key).strip().lower()).groups()
+    if not 0 < int(n) * 1024 ** " kmgt".index(unit or " ") <= BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df.mapInArrow(_tidy(run), schema)
+
+
 def free_name(df: DataFrame, *wanted: str) -> list[str]:
     """Column names like those wanted that df doesn't use in any case."""
     taken, out = {c.lower() for c in df.columns}, []

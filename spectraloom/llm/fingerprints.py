@@ -182,7 +182,7 @@ def _histogram(batches):
 
 def rarity_ranks(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Rank of each of the 1001 entropies, the rarest over all windows of docs first."""
-    rows = docs.select(C.text_or_empty(docs[text])).mapInArrow(_histogram, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(C.text_or_empty(docs[text])).transform(C.map_batches, _histogram, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
     count = np.zeros(_LEVELS, np.int64)
     for r in rows:
         count[r["level"]] = r["n"]
@@ -206,7 +206,7 @@ def fingerprint(docs: DataFrame, ranks: np.ndarray, text: str = "text") -> DataF
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], "fingerprint"])
 
     schema = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "fingerprint string"])
-    return src.mapInArrow(run, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "fingerprint")
+    return src.transform(C.map_batches, run, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "fingerprint")
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -289,4 +289,4 @@ def _compare(ranks: np.ndarray):
 
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return with_next(docs).mapInArrow(_compare(rarity_ranks(docs)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).transform(C.map_batches, _compare(rarity_ranks(docs)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common as C
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--(.*?)(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -416,7 +418,7 @@ def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
     keep = [c for c in pages.columns if c != source and c.lower() != "text"]
     src = pages.select(*[pages[c].alias(f"_c{i}") for i, c in enumerate(keep)], pages[source].alias("_html"))
     schema = ", ".join([*(f"_c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "text string"])
-    return src.mapInArrow(_extract, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "text")
+    return src.transform(C.map_batches, _extract, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "text")
 
 
 def op7_html_extraction(spark, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ def pack(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int = 1
     keep = list(columns)
     src = docs.select(F.lit(0).alias("_a"), C.text_or_empty(docs[text]).alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
     schema = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "piece int, start long, length long, ids_crc32 long"] + ["ids array<int>"] * with_ids)
-    pieces = C.materialize(src.mapInArrow(_pieces(vocabulary, capacity, end, with_ids), schema), "pieces").withColumn("_item", F.monotonically_increasing_id())
+    pieces = C.materialize(src.transform(C.map_batches, _pieces(vocabulary, capacity, end, with_ids), schema), "pieces").withColumn("_item", F.monotonically_increasing_id())
     placed = place(pieces.select("_item", "length"), capacity, **kw)
     extra = ["ids"] if with_ids else []
     return pieces.join(placed, "_item").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *extra)

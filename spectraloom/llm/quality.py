@@ -188,7 +188,7 @@ def quality_rules(docs: DataFrame, text: str = "text", lang: str = "lang", sourc
     keep = [c for c in docs.columns if c.lower() not in added]
     src = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(keep) if c != text], F.monotonically_increasing_id().alias("_row"), F.to_json(F.struct(docs[lang].alias("l"), docs[source].alias("s"))).alias("_ls"), F.to_json(F.struct(docs[lang].alias("l"))).alias("_l"), C.text_or_empty(docs[text]).alias("_text"))
     types = dict(src.dtypes)
-    counted = src.mapInArrow(_count, ", ".join([*(f"{c} {types[c]}" for c in src.columns[:-1]), *(f"{c} long" for c in COUNTS)]))
+    counted = src.transform(C.map_batches, _count, ", ".join([*(f"{c} {types[c]}" for c in src.columns[:-1]), *(f"{c} long" for c in COUNTS)]))
     counted = C.materialize(counted.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "counts")
     good = counted.filter("NOT base_failed")
     sizes = good.groupBy("_ls", "_l").agg(F.count("*").alias("n")).withColumn("small", F.col("n") < min_group)

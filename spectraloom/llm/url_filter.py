@@ -107,7 +107,7 @@ def judge(pages: DataFrame, url: str = "url", rules: tuple = RULES, globs: tuple
     host, path, query = split_url(pages[url])
     src = pages.select(*[pages[c].alias(f"_c{i}") for i, c in enumerate(keep)], host.alias("_host"), path.alias("_path"), F.concat(host, path, query).alias("_url"))
     types = dict(src.dtypes)
-    hit = src.mapInArrow(_match(tuple(globs)), ", ".join([*(f"{c} {types[c]}" for c in src.columns[:-1]), "_hit boolean"]))
+    hit = src.transform(C.map_batches, _match(tuple(globs)), ", ".join([*(f"{c} {types[c]}" for c in src.columns[:-1]), "_hit boolean"]))
     rule = verdict = None
     for v, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((F.col("_host") == h) | F.col("_host").endswith("." + h)) & F.col("_path").startswith(p)
