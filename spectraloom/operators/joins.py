@@ -64,8 +64,8 @@ def linear_alignment(pairs: DataFrame, x: str, y: str) -> DataFrame:
 def normalize_median(features: DataFrame) -> DataFrame:
     """Maps scaled so that each has the median intensity of map 0."""
     med = features.groupBy("map_id").agg(F.percentile("intensity", 0.5).alias("m"))
-    ref = med.filter("map_id = 0").select(F.col("m").alias("ref"))
-    scale = med.join(F.broadcast(ref), how="cross").select("map_id", (F.col("ref") / F.col("m")).alias("s"))  # ref: one row
+    ref = F.max(F.when(F.col("map_id") == 0, F.col("m"))).over(Window.partitionBy(F.lit(0)))  # one row for each map
+    scale = med.select("map_id", (ref / F.col("m")).alias("s"))
     return features.join(scale, "map_id").withColumn("intensity", F.col("intensity") * F.col("s")).drop("s")
 
 
