@@ -35,8 +35,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; those with repeats hold the words that stay, joined by a space. Others keep their text as it is."""
-    out = remove_repeats(docs.select(*COLUMNS, F.col("text").alias("_before")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("_before"))
+    out = remove_repeats(docs.select(*COLUMNS))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 

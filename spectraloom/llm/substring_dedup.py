@@ -225,14 +225,14 @@ def _keep_rest(window: int, names: list[str]):
                 kept.append(b" ".join(words))
                 n_words.append(n)
                 n_removed.append(n - len(words))
-            cols = [b.column(i) for i in range(2, b.num_columns - 1)]
+            cols = [b.column(b.schema.get_field_index(c)) for c in names[:-3]]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor: int = 8, group_rows: int = 1024) -> DataFrame:
-    """docs with n_words, n_removed (long) and kept_text (the words that stay, joined by one space).
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor: int = 8, group_rows: int = 1024, original: bool = True) -> DataFrame:
+    """docs with n_words, n_removed (long) and kept_text (the words that stay, joined by one space); without the text if not `original`.
 
     A null or empty text has no words and an empty kept_text; a text of fewer than `window` words keeps all. Equal rows are
     texts of their own: each copy counts, and whole copies lose all that a window covers. Other columns pass unchanged;
@@ -242,11 +242,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
     if not 1 <= anchor <= window < 64 + anchor - 1:
         raise ValueError("anchor must be from 1 to window, and window less than anchor + 63")
     added = ("n_words", "n_removed", "kept_text")
-    keep = [c for c in docs.columns if c.lower() not in added]
-    src = docs.select(F.monotonically_increasing_id().alias("_key"), C.text_or_empty(docs[text]).alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
+    keep = [c for c in docs.columns if c.lower() not in added and c != text]
+    src = docs.select(F.monotonically_increasing_id().alias("_key"), docs[text].alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
     spark = docs.sparkSession
 
-    found = C.materialize(src.select("_key", "_text").mapInArrow(_find_local(window, anchor), _SCHEMA_A), "repeats")
+    found = C.materialize(src.select("_key", "_text").transform(C.map_batches, _find_local(window, anchor), _SCHEMA_A), "repeats")
     picked = found.filter("kind = 0").drop("kind")
     often = picked.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     places = picked.join(often, "anchor").groupBy("_key").agg(F.collect_list(F.struct("pos", "mask", "anchor", "n")).alias("_places"))
@@ -254,17 +254,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
     n = C.shuffle_partitions(spark)
     dealt = src.repartition(n, "_key")
     cols = dealt.columns
-    contexts = dealt.join(places, "_key").select(*cols, "_places").mapInArrow(_cut_contexts(window, len(cols), group_rows), "anchor long, salt int, _key long, pos int, mask long, context binary")
-    nodes = contexts.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_grow_subtrees(window, 8000), "w1 long, w2 long, n long, _key long, pos int, mask long")
+    contexts = dealt.join(places, "_key").select(*cols, "_places").transform(C.map_batches, _cut_contexts(window, len(cols), group_rows), "anchor long, salt int, _key long, pos int, mask long, context binary")
+    nodes = contexts.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").transform(C.map_batches, _grow_subtrees(window, 8000), "w1 long, w2 long, n long, _key long, pos int, mask long")
     deep = nodes.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("mask") != 0, F.struct("_key", "pos", "mask"))).alias("at")).filter("n > 1").select(F.inline("at"))
     twice = found.filter("kind = 1").select("_key", "pos", (-F.col("mask")).alias("mask"))
     marks = deep.union(twice).groupBy("_key").agg(F.collect_list(F.struct("pos", "mask")).alias("_marks"))
-    out = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "n_words long, n_removed long, kept_text string"])
-    names = [*(f"_c{i}" for i in range(len(keep))), *added]
-    rest = dealt.join(marks, "_key", "left").select(*cols, "_marks").mapInArrow(_keep_rest(window, names), out)
-    return rest.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], *added)
+    # the text is dealt once; its column comes back from there
+    passed = [("_text", text)] * original + [(f"_c{i}", c) for i, c in enumerate(keep)]
+    out = ", ".join([*(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in passed), "n_words long, n_removed long, kept_text string"])
+    names = [*(k for k, _ in passed), *added]
+    rest = dealt.join(marks, "_key", "left").select(*cols, "_marks").transform(C.map_batches, _keep_rest(window, names), out)
+    place = {c: k for k, c in passed}
+    return rest.select(*[F.col(place[c]).alias(c) for c in docs.columns if c in place], *added)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), original=False)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
