@@ -11,7 +11,7 @@ from ..operators import joins as jo
 from ..sources import tables as tb
 from ..sources.tables import sql as _sql
 from ..streaming import merge as mg
-from . import assign, extra, more
+from . import assign, extra, more, stats
 from .sqltext import PARTS, count_sql
 
 FLAGSHIP = "region_aggregation"
@@ -167,5 +167,5 @@ SELECT peptide, 'b' AS ion, position, round({_count(ch.RESIDUES, 'left(peptide,
     "missed_cleavages": f"SELECT CAST(len({_PARTS}) - 1 AS BIGINT) AS missed, COUNT(*) AS n FROM sequences GROUP BY 1",
     "merge_spectra": "SELECT run_id, CAST(floor(rt / 10.0) AS BIGINT) AS rt_cell, CAST(floor(mz / 10.0) AS BIGINT) AS mz_cell, round(SUM(intensity), 4) AS intensity, COUNT(*) AS n FROM peaks GROUP BY ALL",
 }
-SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL | extra.SQL | assign.SQL
-QUERIES |= more.QUERIES | extra.QUERIES | assign.QUERIES
+SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL | extra.SQL | assign.SQL | stats.SQL
+QUERIES |= more.QUERIES | extra.QUERIES | assign.QUERIES | stats.QUERIES

@@ -126,3 +126,18 @@ def test_isotopes_and_compositions(spark):
                     if a + b + c and abs(3 * a + 5 * b + 7.5 * c - m) <= 0.2:
                         want.add((i, " ".join(f"{k}{n}" for k, n in (("C", c), ("B", b), ("A", a)) if n)))
     assert got == want
+
+
+def test_ransac_and_parabola(spark):
+    from spectraloom.operators import statistics as st
+
+    rng = random.Random(9)
+    rows = [(0, float(i), 3.0 * i + 7 + rng.uniform(-0.4, 0.4)) for i in range(60)] + [(0, float(i), rng.uniform(-900, 900)) for i in range(25)]
+    df = spark.createDataFrame(rows, "run_id int, x double, y double")
+    kept = st.ransac(df, "x", "y", 1.0).collect()
+    assert len(kept) >= 60 and all(abs(r.y - 3 * r.x - 7) < 2 for r in kept)
+    few = spark.createDataFrame([(0, 1.0, 1.0), (0, 1.0, 2.0)], df.schema)
+    assert st.ransac(few, "x", "y", 1.0).count() == 2
+    curve = spark.createDataFrame([(0, float(i), 2.0 - i + 0.5 * i * i) for i in range(8)], df.schema)
+    (r,) = st.regressions(curve, ("run_id",), "x", "y").collect()
+    assert np.allclose([r.a, r.b, r.c], [2, -1, 0.5])
