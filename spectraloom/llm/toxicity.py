@@ -88,6 +88,27 @@ def _count(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 50_000].view(np.int64)), pa.array(counts[lo : lo + 50_000])], names=["feature", "n"])
 
 
+def _tally(features: np.ndarray):
+    """Rows (kind, at, n): in this partition, the number of texts of a kind that hold feature number `at`; at -1: of all of them."""
+    table = Model(features, features, 0, 0, 0).table()
+    width = len(features) + 1
+
+    def run(batches):
+        counts = np.zeros((3, width), np.int64)  # kinds -1, 0, 1
+        for b in batches:
+            kind = np.asarray(b.column(0)).astype(np.int64)
+            side = np.where(kind > 0, 2, np.where(kind < 0, 0, 1))
+            counts[:, 0] += np.bincount(side, minlength=3)
+            raw, offs = C.buffers(b.column(1))
+            for i, j in C.steps(offs):
+                doc, at = present(raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i], features, table)
+                counts += np.bincount(side[i:j][doc] * width + at + 1, minlength=3 * width).reshape(3, width)
+        side, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array((side - 1).astype(np.int32)), pa.array((at - 1).astype(np.int32)), pa.array(counts[side, at])], names=["kind", "at", "n"])
+
+    return run
+
+
 def _lists(features: np.ndarray):
     table = Model(features, features, 0, 0, 0).table()
 
@@ -155,29 +176,33 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     n_docs = docs.count()
     share = min(1.0, most_unlabelled / max(n_docs, 1))
     some = base.filter(F.pmod(F.xxhash64(F.col("_id"), F.lit(12)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    known = labelled.filter("_y > 0").select("_text").mapInArrow(_count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    known = labelled.filter("_y > 0").select("_text").transform(C.map_batches, _count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     least = max(2, int(min_share * min(n_pos, most_labelled)))
     rows = known.filter(F.col("n") >= least).select("feature").toPandas()["feature"].to_numpy(np.int64)
     features = np.sort(rows.view(np.uint64))
     both = labelled.select(F.col("_y").alias("kind"), "_text").union(some.select(F.lit(-1).alias("kind"), "_text"))
-    got = both.select("kind", "_text").mapInArrow(_lists(features), "kind int, at array<int>").toArrow()
-    kind = np.asarray(got.column("kind").combine_chunks())
-    at = got.column("at").combine_chunks()
-    size = np.asarray(at.value_lengths()) if len(at) else np.zeros(0, int)
-    row, col = np.repeat(np.arange(len(kind)), size), np.asarray(at.flatten())
-    p, u = kind > 0, kind < 0
-    if not p.any() or not u.any() or not len(features):
+    tally = both.select("kind", "_text").transform(C.map_batches, _tally(features), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
+    t_kind, t_at, t_n = (np.asarray(tally.column(c).combine_chunks()) for c in ("kind", "at", "n"))
+    shares = []
+    for side in (1, -1):
+        n = np.zeros(len(features) + 1)
+        n[t_at[t_kind == side] + 1] = t_n[t_kind == side]
+        shares.append((n[0], n[1:] / max(n[0], 1)))
+    (n_p, in_p), (n_u, in_u) = shares
+    if not n_p or not n_u or not len(features):
         low = np.log(prior / (1 - prior)) if n_pos else -5.0
         return Model(np.zeros(0, np.uint64), np.zeros(0, np.float32), 0.0, 1.0, float(min(low, 0.0)))
-    in_p, in_u = (np.bincount(col[k[row]], minlength=len(features)) / k.sum() for k in (p, u))
-    z = (in_p - in_u) / np.sqrt((in_u * (1 - in_u) + 1 / u.sum()) * (1 / p.sum() + 1 / u.sum()))
+    z = (in_p - in_u) / np.sqrt((in_u * (1 - in_u) + 1 / n_u) * (1 / n_p + 1 / n_u))
     top = np.argsort(-z, kind="stable")[:most_features]
     top = np.sort(top[(z[top] > 4) & (in_p[top] > 1.5 * in_u[top])])
-    place = np.full(len(features), -1)
-    place[top] = np.arange(len(top))
+    # only the features that stay come to the driver text by text
+    got = both.select("kind", "_text").transform(C.map_batches, _lists(features[top]), "kind int, at array<int>").toArrow()
+    kind = np.asarray(got.column("kind").combine_chunks())
+    at = got.column("at").combine_chunks()
+    size = np.asarray(at.value_lengths()) if len(at) else np.zeros(0, int)
     x = np.zeros((len(kind), len(top)), np.float32)
-    ok = place[col] >= 0
-    x[row[ok], place[col[ok]]] = 1
+    x[np.repeat(np.arange(len(kind)), size), np.asarray(at.flatten())] = 1
+    p, u = kind > 0, kind < 0
     w, bias = nn_pu(x[p], x[u], prior)
     lab_rows = kind >= 0
     a, b = _calibrate((x[lab_rows] @ w + bias).astype(float), (kind[lab_rows] > 0).astype(int)) if (kind == 0).any() else (1.0, 0.0)
@@ -205,7 +230,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     keep = [c for c in docs.columns if c.lower() != "score"]
     src = docs.select(*[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)], F.lower(C.text_or_empty(docs[text])).alias("_text"))
     schema = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "score double"])
-    return src.mapInArrow(_score(model), schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "score")
+    return src.transform(C.map_batches, _score(model), schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "score")
 
 
 def train_on_folds(docs: DataFrame, labels: DataFrame, **kw) -> Model:
