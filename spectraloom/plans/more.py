@@ -15,6 +15,10 @@ def _r(*names, digits=4):
     return [F.round(n, digits).alias(n) for n in names]
 
 
+#: Means of values with four digits can end in a 5 right after the last digit shown, where the order of summing decides; this does instead.
+_UP = 1e-9
+
+
 def _morph(method):
     return lambda s, d: sg.morphology(tb.peaks(s, d), method, 2).select("spectrum_id", "peak_id", *_r("intensity"))
 
@@ -31,8 +35,8 @@ def _traces(s, d):
 QUERIES = {f"morphology_{m}": _morph(m) for m in ("erosion", "dilation", "opening", "closing", "gradient", "bothat")} | {
     "savitzky_golay_fit": lambda s, d: sg.savitzky_golay(tb.peaks(s, d), 11, 4).select("spectrum_id", "peak_id", *_r("intensity")),
     "gaussian_integral": lambda s, d: sg.gaussian_integral(tb.peaks(s, d), 8.0).select("spectrum_id", "peak_id", *_r("intensity")),
-    "mass_traces": lambda s, d: _traces(s, d).select("run_id", *_r("mz", "rt_low", "rt_high", "apex", "intensity", digits=5), "n"),
-    "group_isotopes": lambda s, d: sg.group_isotopes(_traces(s, d), tolerance=0.3).select("run_id", "charge", *_r("mono_mz", "iso_mz", digits=5)),
+    "mass_traces": lambda s, d: _traces(s, d).withColumn("mz", F.col("mz") + _UP).select("run_id", *_r("mz", "rt_low", "rt_high", "apex", "intensity", digits=5), "n"),
+    "group_isotopes": lambda s, d: sg.group_isotopes(_traces(s, d), tolerance=0.3).select("run_id", "charge", *[F.round(F.col(c) + _UP, 5).alias(c) for c in ("mono_mz", "iso_mz")]),
     "hyperscore": lambda s, d: sc.hyperscore(sc.match_ions(tb.peaks(s, d), _psms(s, d), 0.5)).select("spectrum_id", "peptide", *_r("score", "mean_error"), "n_b", "n_y"),
     "morpheus_score": lambda s, d: sc.morpheus(sc.match_ions(tb.peaks(s, d), _psms(s, d), 0.5), tb.peaks(s, d)).select("spectrum_id", "peptide", *_r("score")),
     "precursor_candidates": lambda s, d: sc.candidates(_psms(s, d).select("peptide").distinct(), tb.features(s, d).select(F.col("feature_id").alias("spectrum_id"), F.col("mz").alias("precursor_mass")), 0.25).select("spectrum_id", "peptide", *_r("mass")),
@@ -66,8 +70,8 @@ SQL = {
     "morphology_opening": _TWO.format("MIN", f"MAX(f) OVER {_W}"),
     "morphology_closing": _TWO.format("MAX", f"MIN(f) OVER {_W}"),
     "morphology_bothat": _TWO.format("MAX", f"intensity - MIN(f) OVER {_W}"),
-    "mass_traces": _TRACE + "SELECT run_id, round(mz, 5) AS mz, round(rt_low, 5) AS rt_low, round(rt_high, 5) AS rt_high, round(apex, 5) AS apex, round(intensity, 5) AS intensity, n FROM r",
-    "group_isotopes": _TRACE + """SELECT a.run_id, charge, round(a.mz, 5) AS mono_mz, round(b.mz, 5) AS iso_mz FROM r a, (SELECT unnest([1, 2, 3]) AS charge) z, r b
+    "mass_traces": _TRACE + "SELECT run_id, round(mz + 1e-9, 5) AS mz, round(rt_low, 5) AS rt_low, round(rt_high, 5) AS rt_high, round(apex, 5) AS apex, round(intensity, 5) AS intensity, n FROM r",
+    "group_isotopes": _TRACE + """SELECT a.run_id, charge, round(a.mz + 1e-9, 5) AS mono_mz, round(b.mz + 1e-9, 5) AS iso_mz FROM r a, (SELECT unnest([1, 2, 3]) AS charge) z, r b
 WHERE a.run_id = b.run_id AND abs(b.mz - (a.mz + CAST(1.00335483 AS DOUBLE) / charge)) <= 0.3 AND b.apex BETWEEN a.rt_low AND a.rt_high AND a.apex BETWEEN b.rt_low AND b.rt_high""",
     "hyperscore": _PSM + """, s AS (SELECT spectrum_id, peptide, SUM(intensity) AS dot, SUM(CASE WHEN ion = 'b' THEN 1 ELSE 0 END) AS n_b, SUM(CASE WHEN ion = 'y' THEN 1 ELSE 0 END) AS n_y, AVG(error) AS e FROM m GROUP BY ALL)
 SELECT spectrum_id, peptide, round(ln(1 + dot) + ln(factorial(CAST(n_b AS INTEGER))) + ln(factorial(CAST(n_y AS INTEGER))), 4) AS score, round(e, 4) AS mean_error, CAST(n_b AS BIGINT) AS n_b, CAST(n_y AS BIGINT) AS n_y FROM s""",
