@@ -43,7 +43,7 @@ QUERIES = {f"morphology_{m}": _morph(m) for m in ("erosion", "dilation", "openin
     "index_peptides": lambda s, d: sc.index_peptides(_psms(s, d), tb.sequences(s, d)).select("peptide", "accession", F.col("start").cast("long").alias("start")),
     "sequence_coverage": lambda s, d: sc.sequence_coverage(ch.digest(tb.sequences(s, d), 0, 4, 9).select("accession", "peptide"), tb.sequences(s, d)).select("accession", *_r("coverage")),
     "resolve_shared": lambda s, d: sc.resolve_shared(ch.digest(tb.sequences(s, d), 0, 2, 12).select("peptide", "accession"), tb.sequences(s, d).select("accession", F.length("sequence").alias("score"))).select("peptide", "accession", F.col("score").cast("long").alias("score")),
-    "normalize_quantiles": lambda s, d: sc.normalize_quantiles(tb.features(s, d)).select("map_id", "feature_id", *_r("intensity", digits=2)),
+    "normalize_quantiles": lambda s, d: sc.normalize_quantiles(tb.features(s, d)).select("map_id", "feature_id", F.round(F.col("intensity") + _UP, 2).alias("intensity")),
 }
 
 _W = "(PARTITION BY spectrum_id ORDER BY mz, peak_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"
@@ -88,6 +88,6 @@ SELECT accession, round(CASE WHEN length(sequence) > 0 THEN COALESCE(n, 0) / len
     "resolve_shared": f"""WITH p AS (SELECT DISTINCT accession, length(sequence) AS score, peptide FROM (SELECT accession, sequence, unnest({PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 2 AND 12)
 SELECT peptide, accession, score FROM p QUALIFY row_number() OVER (PARTITION BY peptide ORDER BY score DESC, accession) = 1""",
     "normalize_quantiles": """WITH r AS (SELECT *, ((row_number() OVER (PARTITION BY map_id ORDER BY intensity, feature_id) - 1) * 1000) // COUNT(*) OVER (PARTITION BY map_id) AS q FROM features),
-s AS (SELECT q, AVG(m) AS m FROM (SELECT map_id, q, AVG(intensity) AS m FROM r GROUP BY ALL) GROUP BY 1) SELECT map_id, feature_id, round(m, 2) AS intensity FROM r JOIN s USING (q)""",
+s AS (SELECT q, AVG(m) AS m FROM (SELECT map_id, q, AVG(intensity) AS m FROM r GROUP BY ALL) GROUP BY 1) SELECT map_id, feature_id, round(m + 1e-9, 2) AS intensity FROM r JOIN s USING (q)""",
 }
 SQL = {k: tb.sql(v) for k, v in SQL.items()}
