@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common as C
-from .components import components
+from .components import components, joined
 
 _U = np.uint64
 
@@ -172,7 +172,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     """
     keep = [c for c in docs.columns if c.lower() != "class_id"]
     src = docs.select(F.monotonically_increasing_id().alias("_key"), C.text_or_empty(docs[text]).alias("_text"))
-    signed = C.materialize(src.mapInArrow(_sign(shingle, bands, rows), "_key long, d1 long, d2 long, keys array<long>"), "signatures")
+    signed = C.materialize(src.transform(C.map_batches, _sign(shingle, bands, rows), "_key long, d1 long, d2 long, keys array<long>"), "signatures")
     one = C.materialize(signed.groupBy("d1", "d2").agg(F.min("_key").alias("rep"), F.first("keys").alias("keys")), "representatives")
     entries = one.select("rep", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
@@ -184,17 +184,18 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
         t = texts.select(F.col("_key").alias("v"), F.col("_text").alias("tv"))
         s = texts.select(F.col("_key").alias("u"), F.col("_text").alias("tu"))
         both = pairs.join(s, "u").join(t, "v").select("u", "v", "tu", "tv")
-        return C.materialize(both.mapInArrow(_verify(shingle, least, beyond), "u long, v long, alike boolean, nv long, both long, more array<long>, extra array<long>"), "verified")
+        return C.materialize(both.transform(C.map_batches, _verify(shingle, least, beyond), "u long, v long, alike boolean, nv long, both long, more array<long>, extra array<long>"), "verified")
 
     def untested(pairs: DataFrame, tested: DataFrame) -> DataFrame:
         for u, v in (("u", "v"), ("v", "u")):
             pairs = pairs.join(tested.select(F.col(u).alias("u"), F.col(v).alias("v")), ["u", "v"], "left_anti")
         return pairs
 
-    def labelled(tested: DataFrame) -> DataFrame:
+    links = lambda tested: tested.filter("alike").select("u", "v")
+
+    def labelled(known: DataFrame) -> DataFrame:
         """entries of the buckets that still hold several components: with own component and the largest one there."""
-        own = components(tested.filter("alike").select("u", "v")).toDF("rep", "comp")
-        e = entries.join(own, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        e = entries.join(known.toDF("rep", "comp"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
         size = e.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         several = size.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "comp")).alias("m")).filter("k > 1").select("bucket", F.col("m.comp").alias("main"))
         return C.materialize(e.join(several, "bucket"), "labelled")
@@ -203,18 +204,21 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     leaders = entries.join(lead, "bucket").groupBy("rep").agg(F.min("l").alias("l")).select("rep", F.col("l.rep").alias("leader"))
     first = verified(leaders.filter("rep != leader").select(F.col("leader").alias("u"), F.col("rep").alias("v")), beyond=True)
     tested = first.select("u", "v", "alike")
+    known = components(links(first))
     while True:
-        live = labelled(tested)
+        live = labelled(known)
         rest = live.filter("comp != main")
         lead = rest.groupBy("bucket").agg(F.min(F.struct("order", "comp")).alias("l")).select("bucket", F.col("l.order").alias("lo"), F.col("l.comp").alias("lc"))
         pairs = rest.join(lead, "bucket").filter("comp != lc").groupBy("rep").agg(F.min("lo").alias("l")).select(F.col("l.rep").alias("u"), F.col("rep").alias("v"))
         new = verified(untested(pairs, tested))
         n, linked = new.agg(F.count("*"), F.coalesce(F.sum(F.col("alike").cast("int")), F.lit(0))).first()
         tested = tested.union(new.select("u", "v", "alike"))
+        if linked:
+            known = joined(known, links(new))
         if linked <= go_on * n:
             break
     if linked:
-        live = labelled(tested)
+        live = labelled(known)
     # the rest, exactly: all against their bucket's leader, and by that, against each other
     lead = live.groupBy("bucket").agg(F.min("order").alias("l")).select("bucket", F.col("l.rep").alias("leader"))
     alive = live.join(lead, "bucket").groupBy("leader", "rep", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("out"))
@@ -222,6 +226,9 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     done = first.join(alive.select(F.col("leader").alias("u"), F.col("rep").alias("v")), ["u", "v"])
     new = verified(alive.select(F.col("leader").alias("u"), F.col("rep").alias("v")).join(first.select("u", "v"), ["u", "v"], "left_anti"), beyond=True)
     tested = tested.union(new.select("u", "v", "alike"))
+    # what the leaders have joined by now needs no pair among itself
+    known = joined(known, links(new))
+    alive = alive.join(known.toDF("rep", "_comp"), "rep", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp").groupBy("leader", "rep", "comp").agg(F.max("out").alias("out"))
     alive = C.materialize(alive.join(done.unionByName(new).select(F.col("u").alias("leader"), F.col("v").alias("rep"), "nv", "both", "more", "extra"), ["leader", "rep"]), "beyond")
     step = F.lit(1.05)
     cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / F.log(step))
@@ -243,8 +250,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     more = mine.join(rare.withColumn("cell", cell(F.col("nv"))), ["leader", "x", "cell"]).filter((F.col("pc") != F.col("comp")) & ((F.least("pb", "both") + F.least("pl", "left")) * (1 + least) >= (F.col("pn") + F.col("nv")) * least - 1e-6))
     same = near.select("p", "rep").union(more.select("p", "rep")).select(F.least("p", "rep").alias("u"), F.greatest("p", "rep").alias("v"))
     last = verified(untested(same.distinct(), tested))
-    final = tested.union(last.select("u", "v", "alike"))
-    comp = components(final.filter("alike").select("u", "v")).toDF("rep", "comp")
+    comp = joined(known, links(last)).toDF("rep", "comp")
     of_text = one.select("d1", "d2", "rep").join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("class_id"))
     classes = signed.select("_key", "d1", "d2").join(of_text, ["d1", "d2"]).select("_key", "class_id")
     rest = docs.select(F.monotonically_increasing_id().alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from spectraloom.llm import common as C
-from spectraloom.llm.components import components
+from spectraloom.llm.components import components, joined
 from spectraloom.llm.minhash_dedup import bag, bag_signatures, deduplicate, near_duplicate_classes, shingles
 
 
@@ -99,3 +99,15 @@ def test_components(spark):
             root[u] = root[v] = min(root[u], root[v])
     got = {r.u: r.v for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: v for k, v in root.items() if k != v}
+
+
+def test_components_joined(spark):
+    rng = random.Random(6)
+    some = lambda: [(rng.randrange(60), rng.randrange(60)) for _ in range(12)]
+    parts = [some(), [], some(), some()]
+    df = lambda e: spark.createDataFrame(e, "u long, v long")
+    known = components(df(parts[0]))
+    for p in parts[1:]:
+        known = joined(known, df(p))
+    want = components(df([e for p in parts for e in p]))
+    assert {tuple(r) for r in known.collect()} == {tuple(r) for r in want.collect()}
