@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import re
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _parquet_files(df: DataFrame) -> list[str] | None:
+    """The files of df, if it has at most one row for each row of Parquet files: columns and filters that give the same in each scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return None
+    while (kind := plan.getClass().getSimpleName()) in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    if kind != "LogicalRelation" or (found := plan.relation()).getClass().getSimpleName() != "HadoopFsRelation" or found.fileFormat().getClass().getSimpleName() != "ParquetFileFormat":
+        return None
+    return [re.sub("^file:///", "file:/", f) for f in found.location().inputFiles()]
+
+
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with a long `name`, one for each row and the same in every scan, however the files are split.
+
+    In Parquet files it is made of the file's name and the row's place in that file. Other tables are numbered as they are written to the
+    shared folder, once, and come from there; so are files whose names have a checksum in common.
+    """
+    files = _parquet_files(df)
+    if files is not None and len({zlib.crc32(f.encode()) for f in files}) == len(files):
+        at = df.metadataColumn("_metadata")
+        return df.select("*", F.shiftleft(F.crc32(at["file_path"].cast("binary")), 31).bitwiseOR(at["row_index"]).alias(name))
+    void = {c for c, kind in df.dtypes if kind == "void"}  # Parquet has no such type
+    rows = materialize(df.select(*[df[c] for c in df.columns if c not in void], F.monotonically_increasing_id().alias(name)), "rows")
+    return rows.select(*[F.lit(None).alias(c) if c in void else rows[c] for c in [*df.columns, name]])
+
+
 def _tidy(run):
     """run; at a partition's end, memory that it has left goes back to the system, as workers live on for other tasks."""
 

@@ -168,10 +168,12 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
 
     class_id numbers one of the class's rows. Texts of equal words in a row are one class, whatever white space separates
     them; null, empty and blank texts are one class as well. An empty table gives an empty one. Other columns pass unchanged;
-    one named class_id is replaced. docs must be read the same way each time that it is computed, as files are.
+    one named class_id is replaced.
     """
-    keep = [c for c in docs.columns if c.lower() != "class_id"]
-    src = docs.select(F.monotonically_increasing_id().alias("_key"), C.text_or_empty(docs[text]).alias("_text"))
+    at = C.free_name(docs, "_key")[0]
+    docs, names = C.numbered(docs, at), docs.columns
+    keep = [c for c in names if c.lower() != "class_id"]
+    src = docs.select(docs[at].alias("_key"), C.text_or_empty(docs[text]).alias("_text"))
     signed = C.materialize(src.transform(C.map_batches, _sign(shingle, bands, rows), "_key long, d1 long, d2 long, keys array<long>"), "signatures")
     one = C.materialize(signed.groupBy("d1", "d2").agg(F.min("_key").alias("rep"), F.first("keys").alias("keys")), "representatives")
     entries = one.select("rep", F.posexplode("keys").alias("band", "key")).select("rep", F.xxhash64("band", "key").alias("bucket"))
@@ -253,7 +255,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     comp = joined(known, links(last)).toDF("rep", "comp")
     of_text = one.select("d1", "d2", "rep").join(comp, "rep", "left").select("d1", "d2", F.coalesce("comp", "rep").alias("class_id"))
     classes = signed.select("_key", "d1", "d2").join(of_text, ["d1", "d2"]).select("_key", "class_id")
-    rest = docs.select(F.monotonically_increasing_id().alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
+    rest = docs.select(docs[at].alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
     return rest.join(classes, "_key").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "class_id")
 
 
@@ -261,11 +263,12 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw)
     """One row of each near-duplicate class: that with the smallest `key` (nulls last), of equal ones any. Columns as in docs.
 
     The rows are told apart by their place, so equal rows give one."""
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), docs[text].alias("_text"), docs[key].alias("_id"))
+    at, cols = C.free_name(docs, "_row")[0], docs.columns
+    docs = C.numbered(docs, at)
+    rows = docs.select(docs[at].alias("_row"), docs[text].alias("_text"), docs[key].alias("_id"))
     found = near_duplicate_classes(rows, text="_text", **kw).select("_row", "_id", "class_id")
     first = found.groupBy("class_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    cols = docs.columns
-    all_ = docs.select(F.monotonically_increasing_id().alias("_row"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(cols)])
+    all_ = docs.select(docs[at].alias("_row"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(cols)])
     return all_.join(first, "_row", "left_semi").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(cols)])
 
 

@@ -62,17 +62,21 @@ def _running(df: DataFrame, keys: list[str], chunk: str, order: list, value: str
     return df.withColumn("_own", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, [*keys, chunk]).withColumn(out, F.col("_own") + F.col("_base")).drop("_own", "_base")
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple = (1, 2, 3), cap: int = 3, block: int = 1024, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", weights: tuple = (1, 2, 3), cap: int = 3, block: int = 1024, seed: int = 7, row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(schedule, documents).
 
     schedule: slot, source, pass, _key, start, end: in order of slot (and place), the words [start, end) of the document _key.
-    documents: _key, size, source, source_size, target for each row of docs, _key numbering the rows of docs as read.
+    documents: _key, size, source, source_size, target for each row of docs, _key being the column `row` of docs, or else the
+    number that common.numbered gives.
     Null text has no words. Null is a source of its own. Empty documents and sources of no words are in no slot; if there are
     no words at all, the schedule is empty and targets are 0. Equal rows are documents of their own. The shuffle depends on
     `key` and text alone, not on how docs is split.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.monotonically_increasing_id().alias("_key"), docs[source].alias("source"), n_words(docs[text]).alias("size"), F.xxhash64(docs[key].cast("string"), docs[text]).alias("_u"))
+    if row is None:
+        row = C.free_name(docs, "_key")[0]
+        docs = C.numbered(docs, row)
+    rows = docs.select(docs[row].alias("_key"), docs[source].alias("source"), n_words(docs[text]).alias("size"), F.xxhash64(docs[key].cast("string"), docs[text]).alias("_u"))
     rows = C.materialize(rows, "sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = C.materialize(source_targets(sizes, weights, cap), "targets")
@@ -114,11 +118,12 @@ def mixed_documents(docs: DataFrame, text: str = "text", length: str = "n_chars"
 
     A document taken whole keeps its text; of one that the schedule ends in, the words taken are joined by one space, and
     `length` (if there is such a column) is set anew. Documents without words are in no mix."""
-    schedule, sizes = mix(docs, text=text, **kw)
+    at, cols = C.free_name(docs, "_key")[0], docs.columns
+    docs = C.numbered(docs, at)
+    schedule, sizes = mix(docs, text=text, row=at, **kw)
     part = schedule.groupBy("_key", "pass").agg(F.min("start").alias("_start"), F.max("end").alias("_end"), F.min("slot").alias("_slot"))
     part = part.join(sizes.select("_key", "size"), "_key")
-    cols = docs.columns
-    rows = docs.select(F.monotonically_increasing_id().alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(cols)]).join(part, "_key")
+    rows = docs.select(docs[at].alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(cols)]).join(part, "_key")
     t = F.col(f"_c{cols.index(text)}")
     cut = (F.col("_start") > 0) | (F.col("_end") < F.col("size"))
     words = F.array_join(F.slice(F.regexp_extract_all(t, F.lit(f"({WORD})"), 1), (F.col("_start") + 1).cast("int"), (F.col("_end") - F.col("_start")).cast("int")), " ")
@@ -131,9 +136,8 @@ def mixed_documents(docs: DataFrame, text: str = "text", length: str = "n_chars"
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
-    schedule, sizes = mix(docs)
+    docs = C.numbered(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"), "_key")
+    schedule, sizes = mix(docs, row="_key")
     taken = schedule.groupBy("_key").agg(F.sum(F.col("end") - F.col("start")).alias("taken"))
-    ids = docs.select(F.monotonically_increasing_id().alias("_key"), "doc_id")
-    out = sizes.join(ids, "_key").join(taken, "_key", "left")
+    out = sizes.join(docs.select("_key", "doc_id"), "_key").join(taken, "_key", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))

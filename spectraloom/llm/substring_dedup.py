@@ -236,14 +236,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
 
     A null or empty text has no words and an empty kept_text; a text of fewer than `window` words keeps all. Equal rows are
     texts of their own: each copy counts, and whole copies lose all that a window covers. Other columns pass unchanged;
-    columns named like those that are added are replaced. An empty table gives an empty one. docs must be read the same
-    way each time that it is computed, as files are: its rows are told apart by their place in it.
+    columns named like those that are added are replaced. An empty table gives an empty one.
     """
     if not 1 <= anchor <= window < 64 + anchor - 1:
         raise ValueError("anchor must be from 1 to window, and window less than anchor + 63")
     added = ("n_words", "n_removed", "kept_text")
-    keep = [c for c in docs.columns if c.lower() not in added and c != text]
-    src = docs.select(F.monotonically_increasing_id().alias("_key"), docs[text].alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
+    at, columns = C.free_name(docs, "_key")[0], docs.columns
+    docs = C.numbered(docs, at)
+    keep = [c for c in columns if c.lower() not in added and c != text]
+    src = docs.select(docs[at].alias("_key"), docs[text].alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
     spark = docs.sparkSession
 
     found = C.materialize(src.select("_key", "_text").transform(C.map_batches, _find_local(window, anchor), _SCHEMA_A), "repeats")
@@ -265,7 +266,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
     names = [*(k for k, _ in passed), *added]
     rest = dealt.join(marks, "_key", "left").select(*cols, "_marks").transform(C.map_batches, _keep_rest(window, names), out)
     place = {c: k for k, c in passed}
-    return rest.select(*[F.col(place[c]).alias(c) for c in docs.columns if c in place], *added)
+    return rest.select(*[F.col(place[c]).alias(c) for c in columns if c in place], *added)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
