@@ -9,8 +9,9 @@ numpy on confirmed toxic (P) and unlabelled (U) texts with the risk
 whose second part is the risk on negatives, corrected by the class prior pi; where it would go below 0, its gradient is
 turned round. A last logistic step of two parameters on labelled training rows makes scores probabilities.
 
-Fitting takes at most ``most_labelled`` rows of either label and ``most_unlabelled`` texts without labels, by order of a hash of the id.
-Scoring covers all whole texts, by a table of at most ``most_features`` features.
+Corpus counts are of all texts given. For fitting, all texts with equal label and features are one row with their number as weight;
+of more than about ``most_unlabelled`` such rows (``most_labelled`` of either label) those of small weight are drawn in proportion to
+it and weigh more instead. Labels are of at most ``most_labelled`` ids of either kind, by order of a hash. Scoring covers all whole texts, by a table of at most ``most_features`` features.
 """
 
 from __future__ import annotations
@@ -123,8 +124,10 @@ def _lists(features: np.ndarray):
     return run
 
 
-def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic model with least non-negative PU risk (Adam, all rows in each step)."""
+def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4, n_p: np.ndarray | None = None, n_u: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and bias of the logistic model with least non-negative PU risk (Adam, all rows in each step). n_p, n_u: how often rows count."""
+    n_p, n_u = ((np.ones(len(x)) if n is None else n) for x, n in ((p, n_p), (u, n_u)))
+    n_p, n_u = ((n / n.sum()).astype(np.float32) for n in (n_p, n_u))
     sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     w = np.zeros(p.shape[1] + 1, np.float32)
     p, u = (np.hstack([x, np.ones((len(x), 1), np.float32)]) for x in (p, u))
@@ -132,25 +135,26 @@ def nn_pu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 300, rate: fl
     for t in range(1, steps + 1):
         zp, zu = p @ w, u @ w
         # logistic loss: softplus(-z) as positive, softplus(z) as negative
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_pos = p.T @ (-sig(-zp)) * (prior / len(p))
-        g_neg = u.T @ sig(zu) / len(u) - p.T @ sig(zp) * (prior / len(p))
+        negative = np.logaddexp(0, zu) @ n_u - prior * (np.logaddexp(0, zp) @ n_p)
+        g_pos = p.T @ (-sig(-zp) * n_p) * prior
+        g_neg = u.T @ (sig(zu) * n_u) - p.T @ (sig(zp) * n_p) * prior
         g = (g_pos + g_neg if negative >= 0 else -g_neg) + l2 * np.append(w[:-1], 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = (w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w[:-1], float(w[-1])
 
 
-def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """a, b of the probability 1 / (1 + exp(-(a z + b))), by Newton's method; a isn't negative."""
-    target = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    mid, scale = z.mean(), z.std() or 1.0
+def _calibrate(z: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """a, b of the probability 1 / (1 + exp(-(a z + b))), by Newton's method; a isn't negative. Row i counts n[i] times."""
+    target = np.where(y == 1, (y @ n + 1) / (y @ n + 2), 1 / ((1 - y) @ n + 2))
+    mid = np.average(z, weights=n)
+    scale = np.sqrt(np.average((z - mid) ** 2, weights=n)) or 1.0
     x = np.stack([(z - mid) / scale, np.ones(len(z))], 1)
     t = np.zeros(2)
     for _ in range(50):
         q = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
-        h = (x * (q * (1 - q) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        t -= np.clip(np.linalg.solve(h, x.T @ (q - target) + 1e-3 * t), -2, 2)
+        h = (x * ((q * (1 - q) + 1e-6) * n)[:, None]).T @ x + 1e-3 * np.eye(2)
+        t -= np.clip(np.linalg.solve(h, x.T @ ((q - target) * n) + 1e-3 * t), -2, 2)
     a = max(t[0], 0.0) / scale
     return float(a), float(t[1] - a * mid)
 
@@ -173,14 +177,11 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     chosen = first(True).union(first(False))  # of bounded size: sent to all executors
     base = docs.select(docs[key].alias("_id"), F.lower(C.text_or_empty(docs[text])).alias("_text"))
     labelled = base.join(F.broadcast(chosen), "_id")
-    n_docs = docs.count()
-    share = min(1.0, most_unlabelled / max(n_docs, 1))
-    some = base.filter(F.pmod(F.xxhash64(F.col("_id"), F.lit(12)), F.lit(1 << 30)) < int(share * (1 << 30)))
     known = labelled.filter("_y > 0").select("_text").transform(C.map_batches, _count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     least = max(2, int(min_share * min(n_pos, most_labelled)))
     rows = known.filter(F.col("n") >= least).select("feature").toPandas()["feature"].to_numpy(np.int64)
     features = np.sort(rows.view(np.uint64))
-    both = labelled.select(F.col("_y").alias("kind"), "_text").union(some.select(F.lit(-1).alias("kind"), "_text"))
+    both = labelled.select((F.col("_y") > 0).cast("int").alias("kind"), "_text").union(base.select(F.lit(-1).alias("kind"), "_text"))
     tally = both.select("kind", "_text").transform(C.map_batches, _tally(features), "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n")).toArrow()
     t_kind, t_at, t_n = (np.asarray(tally.column(c).combine_chunks()) for c in ("kind", "at", "n"))
     shares = []
@@ -195,17 +196,23 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     z = (in_p - in_u) / np.sqrt((in_u * (1 - in_u) + 1 / n_u) * (1 / n_p + 1 / n_u))
     top = np.argsort(-z, kind="stable")[:most_features]
     top = np.sort(top[(z[top] > 4) & (in_p[top] > 1.5 * in_u[top])])
-    # only the features that stay come to the driver text by text
-    got = both.select("kind", "_text").transform(C.map_batches, _lists(features[top]), "kind int, at array<int>").toArrow()
+    # equal rows are one with a weight; a row that stands for less than `unit` texts is kept with the probability weight / unit, and weighs unit
+    rows = both.select("kind", "_text").transform(C.map_batches, _lists(features[top]), "kind int, at array<int>").groupBy("kind", "at").agg(F.count("*").alias("n"))
+    n_of = {k: int(t_n[(t_kind == k) & (t_at == -1)].sum()) for k in (-1, 0, 1)}
+    most = {-1: most_unlabelled, 0: most_labelled, 1: most_labelled}
+    unit = F.element_at(F.array(*[F.lit(max(1.0, n_of[k] / most[k])) for k in (-1, 0, 1)]), F.col("kind") + 2)
+    drawn = F.pmod(F.xxhash64("at", "kind", F.lit(12)), F.lit(1 << 30)) / float(1 << 30) * unit < F.col("n")
+    got = rows.filter(drawn).select("kind", "at", F.greatest(F.col("n"), unit).alias("n")).toArrow()
+    n = np.asarray(got.column("n").combine_chunks()).astype(float)
     kind = np.asarray(got.column("kind").combine_chunks())
     at = got.column("at").combine_chunks()
     size = np.asarray(at.value_lengths()) if len(at) else np.zeros(0, int)
     x = np.zeros((len(kind), len(top)), np.float32)
     x[np.repeat(np.arange(len(kind)), size), np.asarray(at.flatten())] = 1
     p, u = kind > 0, kind < 0
-    w, bias = nn_pu(x[p], x[u], prior)
+    w, bias = nn_pu(x[p], x[u], prior, n_p=n[p], n_u=n[u])
     lab_rows = kind >= 0
-    a, b = _calibrate((x[lab_rows] @ w + bias).astype(float), (kind[lab_rows] > 0).astype(int)) if (kind == 0).any() else (1.0, 0.0)
+    a, b = _calibrate((x[lab_rows] @ w + bias).astype(float), (kind[lab_rows] > 0).astype(int), n[lab_rows]) if (kind == 0).any() else (1.0, 0.0)
     return Model(features[top], w, bias, a, b)
 
 

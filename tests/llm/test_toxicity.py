@@ -48,3 +48,35 @@ def test_empty_tables(spark):
     assert score(docs, train(docs, labels)).collect() == []
     one = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     assert score(one, train(one, labels)).filter(F.col("score") < 0.5).count() == 1
+
+
+def test_weights_are_repeats():
+    rng = np.random.default_rng(3)
+    p, u = ((rng.random((40, 5)) < q).astype(np.float32) for q in (0.6, 0.2))
+    n_p, n_u = rng.integers(1, 5, 40), rng.integers(1, 9, 40)
+    w, b = nn_pu(p, u, 0.2, n_p=n_p, n_u=n_u)
+    w2, b2 = nn_pu(np.repeat(p, n_p, axis=0), np.repeat(u, n_u, axis=0), 0.2)
+    assert np.allclose(w, w2, atol=1e-2) and abs(b - b2) < 1e-2
+
+
+def test_all_texts_count_and_few_rows_are_fitted(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    bad = [f"bad{k}" for k in range(12)]
+    some = lambda q: " ".join([x for x in bad if rng.random() < q])
+    toxic = [(i, f"{some(0.5)} common") for i in range(100)] + [(7, f"{some(0.5)} common") for _ in range(600)]
+    for group in (None, 5000, 5001, 5002):  # one id for half of the rows
+        rows = [(group, f"common {some(0.1)}") for _ in range(1000)] + [(1000 + i, f"plain {some(0.02)}") for i in range(1000)]
+        docs = spark.createDataFrame(toxic + rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(i, 1) for i in range(100)] + [(1000 + i, 0) for i in range(400)], "doc_id long, toxic int")
+        seen = {}
+
+        def fit(p, u, prior, n_p=None, n_u=None):
+            seen.update(p=len(p), u=len(u), n_p=n_p, n_u=n_u)
+            return nn_pu(p, u, prior, n_p=n_p, n_u=n_u)
+
+        monkeypatch.setattr("spectraloom.llm.toxicity.nn_pu", fit)
+        model = train(docs, labels, most_labelled=150, most_unlabelled=200)
+        assert 20 < seen["p"] < 220 and 20 < seen["u"] < 270
+        assert abs(seen["n_p"].sum() / 700 - 1) < 0.25 and abs(seen["n_u"].sum() / 2700 - 1) < 0.25
+        got = {r.text: r.score for r in score(spark.createDataFrame([("common",), ("plain",), (" ".join(bad),)], "text string"), model).collect()}
+        assert got[" ".join(bad)] > 0.7 > 0.5 > got["common"] and got["plain"] < 0.5
