@@ -24,11 +24,13 @@ BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """A folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, local mode has one of its own; a cluster has none."""
     said = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if said is None and (d := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
         said = d.get()
     if said is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         said = "/tmp/checkpoints"
     return said.rstrip("/")
 
@@ -37,9 +39,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: what follows no longer depends on df's lineage nor computes it twice."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for tables in _scopes:
+        tables.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Tables written since each open call of kept().
+_scopes: list[list[str]] = []
+
+
+def kept(spark: SparkSession, build, tag: str) -> DataFrame:
+    """The table that build() gives, written to the shared folder; the tables that build() wrote there on its way are deleted."""
+    _scopes.append(made := [])
+    try:
+        out = materialize(build(), tag)
+    finally:
+        _scopes.pop()
+    gone = set(made[:-1])
+    for path in gone:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    for tables in _scopes:
+        tables[:] = [t for t in tables if t not in gone]
+    return out
+
+
 def _parquet_files(df: DataFrame) -> list[str] | None:
     """The files of df, if it has at most one row for each row of Parquet files: columns and filters that give the same in each scan."""
     plan = df._jdf.queryExecution().analyzed()

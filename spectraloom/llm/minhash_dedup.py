@@ -15,12 +15,15 @@ the middle of a group of edits. Then those left out have leaders among themselve
 of what it tries. Last, exactly, what still lies in different components of a bucket. There each text is compared with the
 bucket's leader L: the overlap of two texts is at most the smaller of their overlaps with L, plus what they share beyond L. So if
 they share nothing beyond L, only few sizes can reach the threshold: those pairs are compared. If they do, enough of it
-must be shared that they share one of the rarest shingles that either has beyond L (prefix filter): those pairs are compared. All
-other pairs of a bucket are proven to be below the threshold.
+must be shared that they share one of the rarest shingles that either has beyond L (prefix filter). Those that share one get leaders among
+themselves in the same way; pairs of what is then still in different components are compared. All other pairs of a bucket are
+proven to be below the threshold.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -232,13 +235,15 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     known = joined(known, links(new))
     alive = alive.join(known.toDF("rep", "_comp"), "rep", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp").groupBy("leader", "rep", "comp").agg(F.max("out").alias("out"))
     alive = C.materialize(alive.join(done.unionByName(new).select(F.col("u").alias("leader"), F.col("v").alias("rep"), "nv", "both", "more", "extra"), ["leader", "rep"]), "beyond")
-    step = F.lit(1.05)
-    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / F.log(step))
-    # overlap o reaches `least` only if o (1 + least) >= least (pn + nv); without anything shared beyond, o <= min(pb, both)
+    # overlap o reaches `least` only if o (1 + least) >= least (pn + nv), so sizes differ by `least` at most: cells of that ratio
+    cell = lambda x: F.floor(F.log(F.greatest(x, F.lit(1.0))) / math.log(1 / least)).cast("int")
+    reach = lambda o, pn, nv: o * (1 + least) >= (pn + nv) * least - 1e-6
+    most = lambda o: o * ((1 + least) / least) - F.col("pn")  # noqa: E731  size of the largest text that an overlap of o can still do for
+    # without anything shared beyond, o <= min(pb, both)
     mine = alive.filter("out").select("leader", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("nv").alias("pn"), F.col("both").alias("pb"))
-    lo, hi = F.col("pn") * least, F.col("pb") * ((1 + least) / least) - F.col("pn")
+    lo, hi = F.col("pn") * least, most(F.col("pb"))
     sizes = mine.filter(hi >= lo).select("*", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
-    near = sizes.join(alive.select("leader", "rep", "comp", "nv", "both", cell(F.col("nv")).alias("cell")), ["leader", "cell"]).filter((F.col("pc") != F.col("comp")) & (F.least("pb", "both") * (1 + least) >= (F.col("pn") + F.col("nv")) * least - 1e-6))
+    near = sizes.join(alive.select("leader", "rep", "comp", "nv", "both", cell(F.col("nv")).alias("cell")), ["leader", "cell"]).filter((F.col("pc") != F.col("comp")) & reach(F.least("pb", "both"), F.col("pn"), F.col("nv")))
     # a text of n shingles, b of them in L, has to share n least - b of the n - b beyond: one of the first n (1 - least) and one more
     beyond = alive.select("leader", "rep", "comp", "out", "nv", "both", F.explode(F.arrays_zip("more", "extra")).alias("m")).select("leader", "rep", "comp", "out", "nv", "both", F.col("m.more").alias("x"), F.col("m.extra").alias("w"))
     often = beyond.groupBy("leader", "x").agg(F.count("*").alias("df"))
@@ -246,10 +251,31 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     rare = beyond.join(often, ["leader", "x"]).withColumn("before", F.coalesce(F.sum("w").over(own), F.lit(0))).filter((F.col("before") <= F.col("nv") * (1 - least) + 1e-6) & (F.col("df") > 1))
     # x the first that two share, they share at most what each has from there on; that bounds the other's size as well
     rare = C.materialize(rare.select("leader", "x", "rep", "comp", "out", "nv", "both", (F.col("nv") - F.col("both") - F.col("before")).alias("left")), "rare")
-    mine = rare.filter("out").select("leader", "x", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("nv").alias("pn"), F.col("both").alias("pb"), F.col("left").alias("pl"))
-    lo, hi = F.col("pn") * least, (F.col("pb") + F.col("pl")) * ((1 + least) / least) - F.col("pn")
-    mine = mine.filter(hi >= lo).select("*", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
-    more = mine.join(rare.withColumn("cell", cell(F.col("nv"))), ["leader", "x", "cell"]).filter((F.col("pc") != F.col("comp")) & ((F.least("pb", "both") + F.least("pl", "left")) * (1 + least) >= (F.col("pn") + F.col("nv")) * least - 1e-6))
+
+    def unsettled(rare: DataFrame) -> DataFrame:
+        """The groups (leader, x) that hold several components."""
+        groups = rare.groupBy("leader", "x").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("out").alias("_o")).filter("_a != _b AND _o").select("leader", "x")
+        return rare.join(groups, ["leader", "x"])
+
+    shared = reach(F.least("pb", "both") + F.least("pl", "left"), F.col("pn"), F.col("nv"))
+    as_p = lambda df: df.select("leader", "x", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("nv").alias("pn"), F.col("both").alias("pb"), F.col("left").alias("pl"))
+    while True:  # stars of those that share x
+        rare = unsettled(rare)
+        head = as_p(rare.groupBy("leader", "x").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "comp", "nv", "both", "left")).alias("m")).select("leader", "x", "m.*"))
+        pairs = rare.join(head, ["leader", "x"]).filter((F.col("pc") != F.col("comp")) & shared).groupBy("rep").agg(F.min("p").alias("u")).select("u", F.col("rep").alias("v"))
+        new = verified(untested(pairs, tested))
+        n, linked = new.agg(F.count("*"), F.coalesce(F.sum(F.col("alike").cast("int")), F.lit(0))).first()
+        tested = tested.union(new.select("u", "v", "alike"))
+        if linked:
+            known = joined(known, links(new))
+            rare = rare.join(known.toDF("rep", "_comp"), "rep", "left").withColumn("comp", F.coalesce("_comp", "comp")).drop("_comp")
+        if linked <= go_on * n:
+            break
+        rare = C.materialize(rare, "rare")
+    rare = C.materialize(unsettled(rare), "rare")
+    lo, hi = F.col("pn") * least, most(F.col("pb") + F.col("pl"))
+    mine = as_p(rare.filter("out")).filter(hi >= lo).select("*", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
+    more = mine.join(rare.withColumn("cell", cell(F.col("nv"))), ["leader", "x", "cell"]).filter((F.col("pc") != F.col("comp")) & shared)
     same = near.select("p", "rep").union(more.select("p", "rep")).select(F.least("p", "rep").alias("u"), F.greatest("p", "rep").alias("v"))
     last = verified(untested(same.distinct(), tested))
     comp = joined(known, links(last)).toDF("rep", "comp")
@@ -274,7 +300,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", **kw)
 
 def op2_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     """One row per document: class_id is the smallest doc_id of its class."""
-    found = near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", F.col("class_id").alias("_class"))
-    found = C.materialize(found, "classes")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = C.kept(spark, lambda: near_duplicate_classes(docs).select("doc_id", F.col("class_id").alias("_class")), "classes")
     low = found.groupBy("_class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
     return found.join(low, "_class").select("doc_id", "class_id", "class_size")

@@ -86,6 +86,50 @@ def test_classes_as_brute_force(spark):
     assert kept == {min(i for i in range(len(texts)) if want[i] == c) for c in set(want)}
 
 
+def test_group_just_below_the_threshold(spark, monkeypatch):
+    """Texts around one middle, alike to it and not to each other, and pairs that share what they have beyond it."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(100)]
+    texts = []
+    for n in range(240):
+        w = base[:40] + [word() for _ in range(60)] if n % 2 else list(base)
+        for i in rng.sample(range(40), 2):
+            w[i] = word()
+        if n % 2 == 0:
+            w[60 + n % 30 : 76 + n % 30] = [word() for _ in range(16)]
+        texts.append(" ".join(w))
+        if n % 40 == 39:  # alike to this one alone
+            w[0] = word()
+            texts.append(" ".join(w))
+    bags = [bag_of(t) for t in texts]
+    edges = [(i, j) for i in range(len(texts)) for j in range(i) if jaccard(bags[i], bags[j]) >= 0.8]
+    rows, write = {}, C.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        rows[tag] = rows.get(tag, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(C, "materialize", counted)
+    got = {r.doc_id: r.class_id for r in near_duplicate_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    root = {i: i for i in range(len(texts))}
+    for _ in range(10):
+        for i, j in edges:
+            root[i] = root[j] = min(root[i], root[j])
+    same = lambda f: {(i, j) for i in range(len(texts)) for j in range(i) if f(i) == f(j)}
+    assert len(edges) >= 6 and same(got.get) == same(root.get)
+    assert rows["verified"] < len(texts) ** 2 / 8
+
+
+def test_tables_on_the_way_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(C, "shared_dir", lambda s: str(tmp_path))
+    df = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None)], "doc_id long, text string")
+    found = C.kept(spark, lambda: near_duplicate_classes(df), "result")
+    assert [p.name.split("-")[0] for p in tmp_path.iterdir()] == ["result"]
+    assert len({r.class_id for r in found.collect()}) == 2
+
+
 def test_empty_table(spark):
     assert near_duplicate_classes(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
