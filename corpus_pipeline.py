@@ -63,8 +63,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = C.materialize(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = C.kept(spark, lambda: stage(spark, docs, sf_dir), f"stage-{name}")  # noqa: B023  build() is called at once
+    return STAGES[-1][1](spark, docs, sf_dir)
