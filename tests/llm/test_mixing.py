@@ -3,7 +3,7 @@ from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
-from spectraloom.llm.mixing import mix, mixed_documents, n_words
+from spectraloom.llm.mixing import mix, mixed_documents, n_words, schedule_slots
 
 
 def targets(sizes, weights=(1, 2, 3), cap=3):
@@ -56,9 +56,29 @@ def test_mix(spark):
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
     # any stretch of slots holds a source in its share
     total, slots = sum(sizes.values()), sorted({(r.slot, r.source) for r in got}, key=lambda x: x[0])
+    assert len({x[0] for x in slots}) == len(slots)
     for part in (slots[: len(slots) // 2], slots[len(slots) // 4 :]):
         for s in ("a", "b", "Z"):
             assert abs(sum(x[1] == s for x in part) - len(part) * want[s] / total) <= 8
+    # what a slot takes is one block, but for a source's last
+    words = Counter()
+    for r in got:
+        words[r.slot] += r.end - r.start
+    block = max(words.values())
+    for s in sizes:
+        own = [words[k] for k, x in slots if x == s]
+        assert all(n == block for n in own[:-1])
+    # any prefix of the schedule holds a source's words in its share, but for a few blocks
+    for n in (len(slots) // 7, len(slots) // 3, len(slots) * 3 // 4):
+        so_far = Counter()
+        for k, s in slots[:n]:
+            so_far[s] += words[k]
+        for s in ("a", "b", "Z"):
+            assert abs(so_far[s] - n * block * want[s] / total) <= 4 * block
+    # another schedule, another mix
+    other = mix(df, golden=1 << 28 | 1)[0]
+    at = lambda m: sorted((r._key, r.slot) for r in m.groupBy("_key").agg(F.min("slot").alias("slot")).collect())
+    assert at(schedule) != at(other)
     again = mix(docs_of(spark, rows[::-1]))[0]
     text = lambda m, d: sorted((str(r.doc_id), r.n) for r in m.groupBy("_key").agg(F.sum(F.col("end") - F.col("start")).alias("n")).join(d.select(F.monotonically_increasing_id().alias("_key"), "doc_id"), "_key").collect())
     assert text(schedule, df) == text(again, docs_of(spark, rows[::-1]))
@@ -91,3 +111,21 @@ def test_mixed_documents(spark):
             assert text.split()[: len(r.text.split())] == r.text.split() and r.size == len(r.text)
         sizes[r.doc_id] += len(r.text.split())
     assert sum(sizes.values()) == sum(taken.values()) and 500 not in sizes
+
+
+def test_documents_are_in_the_order_of_slots(spark):
+    df = docs_of(spark, [(i, f"{i} " * 40, "abc"[i % 3], 1) for i in range(300)])
+    first = {}
+    for r in mix(df)[0].collect():
+        first[r._key, r["pass"]] = min(first.get((r._key, r["pass"]), r.slot), r.slot)
+    by_key = {r._key: r.doc_id for r in df.select(F.monotonically_increasing_id().alias("_key"), "doc_id").collect()}
+    want = [by_key[k[0]] for k in sorted(first, key=lambda k: (first[k], k[0]))]
+    assert [r.doc_id for r in mixed_documents(df).collect()] == want
+
+
+def test_fewer_slots_take_less(spark):
+    targets = spark.createDataFrame([("a", 1000.0), ("b", 3000.0)], "source string, target double")
+    n = {r.source: r["count"] for r in schedule_slots(spark, targets, 4000, 200, 10).groupBy(F.col("s.source").alias("source")).count().collect()}
+    assert abs(n["a"] - 50) <= 3 and abs(n["b"] - 150) <= 3
+    n = {r.source: r["count"] for r in schedule_slots(spark, targets, 4000, 420, 10).groupBy(F.col("s.source").alias("source")).count().collect()}
+    assert n == {"a": 100, "b": 300}
