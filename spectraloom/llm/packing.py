@@ -4,8 +4,11 @@ Only documents longer than the capacity are cut; their full pieces fill a sequen
 hash to shards of about ``shard_items``, enough for a good packing and few enough for a task. A shard evolves on several
 islands, each a population of packings of the shard's pieces. A packing is a list of bins (groups). Crossover injects the
 well-filled bins of one parent whole into the other, removes the bins there that hold a piece twice, and best-fits the
-displaced pieces. After an epoch each island's elite migrates to the next island of its ring. The best packing of a shard
-stands. Its poorly filled bins are opened and what was in them meets those of other shards in a last round of shards.
+displaced pieces. Mutation opens the worst bins and some others and fills them anew, each by the sum of lengths that leaves least.
+After an epoch each island's elite migrates to the next island of its ring. An island stops at the bound that the tokens alone
+set; so easy shards cost one best fit, and hard ones up to ``generations`` on each island in each epoch. The best packing of a
+shard stands. Its poorly filled bins are opened and what was in them meets those of other shards in further rounds of shards, until
+one shard holds all that is open or a round leaves over half of it open.
 """
 
 from __future__ import annotations
@@ -108,18 +111,43 @@ def cross(a: Packing, b: Packing, rng: np.random.Generator) -> Packing:
     return child.best_fit(displaced)
 
 
+def fill(a: Packing, items: list[int]) -> Packing:
+    """items in bins of their own: each takes the longest that is left and those others whose lengths add up to the most that fits."""
+    lengths, rest = a.lengths, sorted(items, key=a.lengths.__getitem__, reverse=True)
+    while rest:
+        first = rest.pop(0)
+        room = a.capacity - lengths[first]
+        full, mask = 1 << room, (2 << room) - 1
+        sums, now = [1], 1  # bit n: some of the first k items are n long together
+        for i in rest:
+            now |= (now << lengths[i]) & mask
+            sums.append(now)
+            if now & full:
+                break
+        k, left = len(sums) - 1, now.bit_length() - 1
+        bin_, free = [first], room - left
+        while left:
+            while sums[k - 1] >> left & 1:
+                k -= 1
+            k -= 1
+            bin_.append(rest.pop(k))
+            left -= lengths[bin_[-1]]
+        a.add(bin_, free)
+    return a
+
+
 def mutate(a: Packing, rng: np.random.Generator) -> Packing:
-    """Open the worst bins and some others, and best-fit what was in them."""
+    """Open the worst bins and some others, and fill anew what was in them."""
     n = len(a.bins)
-    worst = set(np.argsort(-np.array(a.left), kind="stable")[: max(1, n // 50)].tolist()) | set(rng.integers(0, n, max(1, n // 50)).tolist())
+    some = max(2, n // 40)
+    open_ = set(np.argsort(-np.array(a.left), kind="stable")[:some].tolist()) | set(rng.integers(0, n, some).tolist())
     child, out = Packing(a.lengths, a.capacity), []
     for k, items in enumerate(a.bins):
-        if k in worst:
+        if k in open_:
             out += items
         else:
             child.add(list(items), a.left[k])
-    order = np.array(out)[np.argsort([-a.lengths[i] + rng.integers(0, 24) for i in out], kind="stable")]
-    return child.best_fit(order.tolist())
+    return fill(child, out)
 
 
 def evolve(lengths: np.ndarray, capacity: int, elites: list[np.ndarray], seed: int, population: int, generations: int) -> np.ndarray:
@@ -138,8 +166,7 @@ def evolve(lengths: np.ndarray, capacity: int, elites: list[np.ndarray], seed: i
             break
         i, j = rng.permutation(len(pop))[:2].tolist()
         child = cross(pop[min(i, j)], pop[max(i, j)], rng)
-        if rng.random() < 0.5:
-            child = mutate(child, rng)
+        child = mutate(child, rng)
         if child.fitness() > pop[-1].fitness():
             pop[-1] = child
     return max(pop, key=Packing.fitness).labels()
@@ -178,29 +205,30 @@ def _pack_round(items: DataFrame, n: int, salt: int, capacity: int, islands: int
     return best.select("_shard", F.inline(F.arrays_zip(F.col("b._items").alias("_item"), F.col("b._elite").alias("_bin"), F.col("b._len").alias("length"))))
 
 
-def place(pieces: DataFrame, capacity: int, shard_items: int = 16384, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 6, good: float = 0.97) -> DataFrame:
+def place(pieces: DataFrame, capacity: int, shard_items: int = 16384, islands: int = 2, epochs: int = 2, population: int = 4, generations: int = 24, good: float = 0.97) -> DataFrame:
     """pieces (_item: unique long, length: int from 1 to capacity) -> (_item, sequence_id, offset: long).
 
-    Sequences are gapless from 0 and no longer than capacity. Full pieces have a sequence each, numbered below 0."""
+    The search's effort is bounded by islands x epochs x (population + generations) passes over a shard. Sequences are gapless from 0 and no longer than capacity. Full pieces have a sequence each, numbered below 0."""
     full = pieces.filter(F.col("length") == capacity).select("_item", (-1 - F.col("_item")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = pieces.filter(F.col("length") < capacity).select("_item", F.col("length").cast("int").alias("length"))
     args = (capacity, islands, epochs, population, generations)
-    n = max(1, math.ceil(rest.count() / shard_items))
-    done, level = [], 0
+    size, done, level = rest.count(), [], 0
     while True:
+        n = max(1, math.ceil(size / shard_items))
         packed = _pack_round(rest, n, level, *args)
-        last = n == 1 or level == 1
-        if not last:
+        if n > 1:
             packed = C.materialize(packed, "packed")
-        fill = F.sum("length").over(_bin_window())
-        packed = packed.withColumn("_fill", fill)
-        whole = packed if last else packed.filter(F.col("_fill") >= good * capacity)
+        packed = packed.withColumn("_fill", F.sum("length").over(_bin_window()))
+        poor, before = F.col("_fill") < good * capacity, size
+        size = packed.filter(poor).count() if n > 1 else 0
+        last = n == 1 or not 0 < size <= before // 2
         offset = F.sum("length").over(_bin_window().orderBy(F.desc("length"), "_item").rowsBetween(-(1 << 31), -1))
+        whole = packed if last else packed.filter(~poor)
         done.append(whole.select("_item", (F.lit(level << 50) + F.col("_shard") * (1 << 20) + F.col("_bin")).alias("sequence_id"), F.coalesce(offset, F.lit(0)).cast("long").alias("offset")))
         if last:
             break
-        rest = C.materialize(packed.filter(F.col("_fill") < good * capacity).select("_item", "length"), "open")
-        n, level = max(1, math.ceil(rest.count() / shard_items)), 1
+        rest = C.materialize(packed.filter(poor).select("_item", "length"), "open")
+        level += 1
     for d in done:
         full = full.union(d)
     return full
@@ -212,11 +240,11 @@ def _bin_window():
     return Window.partitionBy("_shard", "_bin")
 
 
-def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool):
+def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool, special_as_text: bool):
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        encode = byte_bpe(vocabulary).encode
+        encode = byte_bpe(vocabulary, special_as_text).encode
         for b in batches:
             text = b.column(1)
             for lo in range(0, b.num_rows, 64):
@@ -246,17 +274,17 @@ def _pieces(vocabulary: str, capacity: int, end: int, with_ids: bool):
     return run
 
 
-def pack(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int = 1024, end: int = 2, columns: tuple = ("doc_id",), with_ids: bool = False, **kw) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, text: str = "text", capacity: int = 1024, end: int = 2, columns: tuple = ("doc_id",), with_ids: bool = False, special_as_text: bool = False, **kw) -> DataFrame:
     """One row per piece: `columns` of its document, piece, start, length, ids_crc32, sequence_id, offset (and ids).
 
     vocabulary: a tokenizers JSON file that each executor has at this path. A document's ids are those of its text (null:
-    empty) and then `end`; so an empty document is a piece of one id. Strings of special tokens are ordinary text. Equal rows
-    are documents of their own. An empty table gives an empty one.
+    empty) and then `end`; so an empty document is a piece of one id. Strings of special tokens get those tokens' ids, as the tokenizer's own
+    default has it, or, if `special_as_text`, are ordinary text. Equal rows are documents of their own. An empty table gives an empty one.
     """
     keep = list(columns)
     src = docs.select(F.lit(0).alias("_a"), C.text_or_empty(docs[text]).alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
     schema = ", ".join([*(f"_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "piece int, start long, length long, ids_crc32 long"] + ["ids array<int>"] * with_ids)
-    pieces = C.materialize(src.transform(C.map_batches, _pieces(vocabulary, capacity, end, with_ids), schema), "pieces").withColumn("_item", F.monotonically_increasing_id())
+    pieces = C.materialize(src.transform(C.map_batches, _pieces(vocabulary, capacity, end, with_ids, special_as_text), schema), "pieces").withColumn("_item", F.monotonically_increasing_id())
     placed = place(pieces.select("_item", "length"), capacity, **kw)
     extra = ["ids"] if with_ids else []
     return pieces.join(placed, "_item").select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *extra)
