@@ -1,18 +1,19 @@
 """Exact substring dedup over windows of words, by prefix-partitioned suffix trees.
 
 A window of ``window`` consecutive words that starts at two places or more, in any documents, is a repeat; each word that a
-repeat covers goes. The suffixes that start at the places are truncated at ``window`` words: only the tree's nodes at that
-depth or below decide.
+repeat covers goes.
 
 1. Each window picks the leftmost smallest of its ``anchor``-word grams, so windows with equal words pick the same gram at
    the same offset: that gram is the prefix by which suffixes are split. Windows found twice in one text are repeats at
    once, and one of them stands for all. Per (text, picked gram): a bit mask of the window starts that picked it.
 2. Grams are counted over all texts with partial sums. What is unique can't hold a repeat and is left.
 3. Suffixes with a common prefix meet, with just the words that they need. A prefix with more than ``group_rows`` places
-   is dealt over several groups. In each group the suffixes are named by prefix doubling (1, 2, 4 .. words, exact names), as
-   in the building of a suffix tree or array; a name at full depth with two suffixes is an internal node of that depth.
-4. A dealt prefix is lengthened to the full window: each group sends one row per node (so, at most as many as groups), and
-   the sums by the window's 128-bit hash tell whether a node that was a leaf in its group has suffixes elsewhere.
+   is lengthened, from ``anchor`` words to the whole window, by dealing it over several groups. In each group the suffix tree of the
+   window starts is built: suffixes in order (by exact names of 1, 2, 4 .. words), and the common length of each with the one
+   before it, which are the depths of the internal nodes. Suffixes below an internal node of depth ``window`` or more are repeats; a
+   node at which nothing longer is common, to the left or to the right, is a maximal repeat.
+4. Of a lengthened prefix each group sends one row per node (so, at most as many as groups), and the sums by the window's
+   128-bit hash tell whether a node that was a leaf in its group has suffixes elsewhere.
 
 Every stage is a partial sum, a join that Spark may split, or a stream over sorted rows. No group of copies meets whole.
 """
@@ -119,14 +120,56 @@ def _cut_contexts(window: int, n_cols: int, group_rows: int):
     return run
 
 
-def name_windows(ids: np.ndarray, window: int) -> np.ndarray:
-    """Exact names of the `window` words from each position on, by prefix doubling; the last window - 1 positions have none."""
-    name, have = ids.astype(np.uint64), 1
-    while have < window:
-        step = min(have, window - have)
-        pair = (name[: len(name) - step] << np.uint64(32)) | name[step:]
-        name, have = np.unique(pair, return_inverse=True)[1].astype(np.uint64), have + step
-    return name
+class SuffixTree:
+    """The suffixes of some words that start at `starts`, by group: in order, with the depths of the nodes between neighbours.
+
+    words: names of all texts, one text after the other; ends: where each ends. No common part reaches over a text's end or has
+    `longest` words (a power of two, 64 at most) or more."""
+
+    def __init__(self, words: np.ndarray, ends: np.ndarray, text: np.ndarray, starts: np.ndarray, group: np.ndarray, longest: int = 64):
+        # a word of its own ends each text
+        size = np.diff(np.concatenate([[0], ends]))
+        shift = np.repeat(np.arange(len(ends)), size)
+        row = np.zeros(len(words) + len(ends) + longest, np.uint64)
+        row[np.arange(len(words)) + shift] = words.astype(np.uint64)
+        row[ends + np.arange(len(ends))] = np.uint64(int(words.max(initial=0)) + 1) + np.arange(len(ends), dtype=np.uint64)
+        at = starts + text
+        self.names, have = [row], 1
+        while 2 * have < longest:
+            name = self.names[-1]
+            pair = np.zeros(len(row), np.uint64)
+            pair[: len(row) - have] = name[: len(row) - have] << np.uint64(32) | name[have:]
+            self.names.append(np.unique(pair, return_inverse=True)[1].astype(np.uint64))
+            have *= 2
+        half = self.names[-1]
+        self.order = np.lexsort((half[at + have], half[at], group))
+        self.group = group[self.order]
+        p, q = at[self.order][:-1], at[self.order][1:]
+        depth = np.zeros(len(p), np.int64)
+        for k, name in reversed(list(enumerate(self.names))):
+            depth += (name[p + depth] == name[q + depth]).astype(np.int64) << k
+        same = self.group[1:] == self.group[:-1]
+        #: depth of the node at which each suffix leaves the one before it; 0 between groups
+        self.depth = np.concatenate([[0], np.where(same, depth, 0)]) if len(at) else np.zeros(0, np.int64)
+
+    def nodes_at(self, depth: int) -> np.ndarray:
+        """For each suffix (as given), the number of the subtree at that depth that it is in."""
+        out = np.empty(len(self.order), np.int64)
+        out[self.order] = np.cumsum(self.depth < depth) - 1
+        return out
+
+    def internal_nodes(self, least: int) -> list[tuple[int, int, int]]:
+        """(first, last, depth) of the nodes of that depth or more; first and last are places in `order`."""
+        out, open_ = [], []
+        for i, d in enumerate([*self.depth.tolist(), 0]):
+            first = i - 1
+            while open_ and open_[-1][1] > d:
+                first, deep = open_.pop()
+                if deep >= least:
+                    out.append((first, i - 1, deep))
+            if d and (not open_ or open_[-1][1] < d):
+                open_.append((first, d))
+        return out
 
 
 def _subtrees(t: pa.Table, window: int) -> pa.RecordBatch:
@@ -134,7 +177,6 @@ def _subtrees(t: pa.Table, window: int) -> pa.RecordBatch:
     raw, offs = C.buffers(t.column("context"))
     w = C.Words(raw, offs)
     h = w.hashes()
-    name = name_windows(np.unique(h, return_inverse=True)[1], window)
     anchor, salt = np.asarray(t.column("anchor").combine_chunks()), np.asarray(t.column("salt").combine_chunks())
     key, pos, mask = (np.asarray(t.column(c).combine_chunks()) for c in ("_key", "pos", "mask"))
     group = np.cumsum(np.concatenate([[0], (np.diff(anchor) != 0) | (np.diff(salt) != 0)])) if len(anchor) else anchor
@@ -146,8 +188,8 @@ def _subtrees(t: pa.Table, window: int) -> pa.RecordBatch:
         offset.append(np.full(len(r), j))
     rows, offset = np.concatenate(rows), np.concatenate(offset)
     at = w.first[rows] + high[rows] - offset
-    node = np.unique((group[rows].astype(np.uint64) << np.uint64(32)) | name[at], return_inverse=True, return_counts=True, return_index=True)
-    _, one, inverse, count = node
+    tree = SuffixTree(np.unique(h, return_inverse=True)[1], w.first[1:], rows, at, group[rows], 1 << window.bit_length())
+    _, one, inverse, count = np.unique(tree.nodes_at(window), return_inverse=True, return_counts=True, return_index=True)
     deep = count[inverse] >= 2
     # decided here: several suffixes below one node
     dup = np.zeros(len(key), np.int64)
@@ -231,6 +273,61 @@ def _keep_rest(window: int, names: list[str]):
     return run
 
 
+def _marked(src: DataFrame, window: int, anchor: int, group_rows: int) -> tuple[DataFrame, DataFrame]:
+    """src (_key, _text, ..) dealt by _key, and (_key, _marks) of the texts with repeats: see _keep_rest."""
+    if not 1 <= anchor <= window < 64 + anchor - 1 or window > 63:
+        raise ValueError("anchor must be from 1 to window, and window less than anchor + 63 and 64")
+    found = C.materialize(src.select("_key", "_text").transform(C.map_batches, _find_local(window, anchor), _SCHEMA_A), "repeats")
+    picked = found.filter("kind = 0").drop("kind")
+    often = picked.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
+    places = picked.join(often, "anchor").groupBy("_key").agg(F.collect_list(F.struct("pos", "mask", "anchor", "n")).alias("_places"))
+
+    n = C.shuffle_partitions(src.sparkSession)
+    dealt = src.repartition(n, "_key")
+    cols = dealt.columns
+    contexts = dealt.join(places, "_key").select(*cols, "_places").transform(C.map_batches, _cut_contexts(window, len(cols), group_rows), "anchor long, salt int, _key long, pos int, mask long, context binary")
+    nodes = contexts.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").transform(C.map_batches, _grow_subtrees(window, 8000), "w1 long, w2 long, n long, _key long, pos int, mask long")
+    deep = nodes.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("mask") != 0, F.struct("_key", "pos", "mask"))).alias("at")).filter("n > 1").select(F.inline("at"))
+    twice = found.filter("kind = 1").select("_key", "pos", (-F.col("mask")).alias("mask"))
+    marks = deep.union(twice).groupBy("_key").agg(F.collect_list(F.struct("pos", "mask")).alias("_marks"))
+    return dealt, marks
+
+
+def _spans(window: int):
+    """Rows (key, marks): the runs of repeated windows, as the words that they cover."""
+
+    def run(batches):
+        for b in batches:
+            marks = b.column(1)
+            spans = []
+            for r in range(b.num_rows):
+                places = marks.slice(r, 1).flatten()
+                pos, mask = np.asarray(places.field("pos")).astype(np.int64), np.asarray(places.field("mask"))
+                runs = mask < 0
+                at = [np.arange(p, p - m) for p, m in zip(pos[runs].tolist(), mask[runs].tolist())]
+                at += [pos[~runs][(mask[~runs] >> j) & 1 == 1] - j for j in range(window)]
+                at = np.unique(np.concatenate(at))
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(at) != 1]))
+                last = at[np.append(cut[1:], len(at)) - 1]
+                spans.append([{"start": int(x), "length": int(y - x + window)} for x, y in zip(at[cut], last)])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=["_key", "repeats"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, text: str = "text", window: int = 35, anchor: int = 8, group_rows: int = 1024) -> DataFrame:
+    """docs with repeats: array of (start, length: long, in words), the longest stretches of which each window of `window` words is a
+    repeat. They can overlap by up to window - 1 words where the window between two isn't a repeat. Null for texts without any;
+    a column named repeats is replaced."""
+    at, columns = C.free_name(docs, "_key")[0], docs.columns
+    docs = C.numbered(docs, at)
+    _, marks = _marked(docs.select(docs[at].alias("_key"), docs[text].alias("_text")), window, anchor, group_rows)
+    spans = marks.transform(C.map_batches, _spans(window), "_key long, repeats array<struct<start: long, length: long>>")
+    keep = [c for c in columns if c.lower() != "repeats"]
+    rest = docs.select(docs[at].alias("_key"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)]).join(spans, "_key", "left")
+    return rest.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(keep)], "repeats")
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor: int = 8, group_rows: int = 1024, original: bool = True) -> DataFrame:
     """docs with n_words, n_removed (long) and kept_text (the words that stay, joined by one space); without the text if not `original`.
 
@@ -238,28 +335,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, anchor
     texts of their own: each copy counts, and whole copies lose all that a window covers. Other columns pass unchanged;
     columns named like those that are added are replaced. An empty table gives an empty one.
     """
-    if not 1 <= anchor <= window < 64 + anchor - 1:
-        raise ValueError("anchor must be from 1 to window, and window less than anchor + 63")
     added = ("n_words", "n_removed", "kept_text")
     at, columns = C.free_name(docs, "_key")[0], docs.columns
     docs = C.numbered(docs, at)
     keep = [c for c in columns if c.lower() not in added and c != text]
     src = docs.select(docs[at].alias("_key"), docs[text].alias("_text"), *[docs[c].alias(f"_c{i}") for i, c in enumerate(keep)])
-    spark = docs.sparkSession
-
-    found = C.materialize(src.select("_key", "_text").transform(C.map_batches, _find_local(window, anchor), _SCHEMA_A), "repeats")
-    picked = found.filter("kind = 0").drop("kind")
-    often = picked.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    places = picked.join(often, "anchor").groupBy("_key").agg(F.collect_list(F.struct("pos", "mask", "anchor", "n")).alias("_places"))
-
-    n = C.shuffle_partitions(spark)
-    dealt = src.repartition(n, "_key")
+    dealt, marks = _marked(src, window, anchor, group_rows)
     cols = dealt.columns
-    contexts = dealt.join(places, "_key").select(*cols, "_places").transform(C.map_batches, _cut_contexts(window, len(cols), group_rows), "anchor long, salt int, _key long, pos int, mask long, context binary")
-    nodes = contexts.repartition(n, "anchor", "salt").sortWithinPartitions("anchor", "salt").transform(C.map_batches, _grow_subtrees(window, 8000), "w1 long, w2 long, n long, _key long, pos int, mask long")
-    deep = nodes.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.collect_list(F.when(F.col("mask") != 0, F.struct("_key", "pos", "mask"))).alias("at")).filter("n > 1").select(F.inline("at"))
-    twice = found.filter("kind = 1").select("_key", "pos", (-F.col("mask")).alias("mask"))
-    marks = deep.union(twice).groupBy("_key").agg(F.collect_list(F.struct("pos", "mask")).alias("_marks"))
     # the text is dealt once; its column comes back from there
     passed = [("_text", text)] * original + [(f"_c{i}", c) for i, c in enumerate(keep)]
     out = ", ".join([*(f"{k} {docs.schema[c].dataType.simpleString()}" for k, c in passed), "n_words long, n_removed long, kept_text string"])
