@@ -1,11 +1,14 @@
 """Text of web pages by layout-aware rendering.
 
-A tokenizer feeds a tree builder that closes and opens what HTML lets authors leave out (paragraphs, list items, table parts,
-options), ignores end tags without a start and never looks past a cell or table for one. Visibility: elements that browsers don't
-show, ``hidden``, closed ``details`` and ``dialog``, inline styles, and simple rules (tag, class, id) of the page's own style sheets;
-``visibility`` is inherited and can be undone, ``display: none`` can't. The renderer keeps block spacing (margins as one
+A tokenizer, which only goes forward, feeds a tree builder that closes and opens what HTML lets authors leave out (paragraphs, list
+items, table parts, options), ignores end tags without a start and never looks past a cell or table for one. What stands in a tag,
+comment or quote that the page never closes is no text, as in browsers. Visibility: elements that browsers don't show, ``hidden``,
+closed ``details`` and ``dialog``, inline styles, and the page's own style sheets: rules whose selectors are made of tags, classes and
+ids of one element, by importance, specificity and order; of ``@media`` those for a screen of 1280 x 800 pixels, of ``@supports`` all
+but negated ones. Selectors that look at other elements or states don't hide anything. ``visibility`` is inherited and can be undone, ``display: none`` can't. The renderer keeps block spacing (margins as one
 blank line), list marks and indents, preformatted text, and tables as aligned columns with spans. It works with a stack of its
-own, so that deeply nested pages are no problem; indents and nested tables stop at a depth of 24.
+own, so that deeply nested pages are no problem; indents and nested tables stop at a depth of 24, and cells wider than 60 characters
+don't widen their column.
 """
 
 from __future__ import annotations
@@ -19,11 +22,18 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--(.*?)(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
+_NAME = re.compile(r"[^\s/>]+")
+_ATTR = re.compile(r"[\s/]*(=?[^\s/>=]*)")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
+_COMMENT_END = re.compile(r"--!?>")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_RULE = re.compile(r"([^{}@]+)\{([^{}]*)\}")
-_SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z")
+_SELECTOR = re.compile(r"(\*|[a-z][a-z0-9-]*)?((?:[.#][\w-]+)*)\Z")
+_FEATURE = re.compile(r"\(\s*([a-z-]+)\s*(?::\s*([^)]*?)\s*)?\)")
+_LENGTH = re.compile(r"([\d.]+)(px|em|rem)?\Z")
+#: The screen that media queries are asked about.
+_SCREEN = {"width": 1280.0, "height": 800.0}
+_DISPLAYS = ("block", "inline", "flex", "grid", "table", "list-item", "contents", "flow-root", "ruby", "initial", "unset", "inherit")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style xmp iframe noembed noframes noscript textarea title".split())
@@ -54,42 +64,58 @@ def parse(source: str) -> Node:
     root = Node("html")
     open_ = [root]
     at, n = 0, len(source)
-    count: dict[str, int] = {}  # open elements by tag: nothing is looked for that isn't there
+    where: dict[str, list[int]] = {}  # places of the open elements by tag: nothing is looked for that isn't there
 
     def push(node: Node) -> None:
         open_[-1].children.append(node)
+        where.setdefault(node.tag, []).append(len(open_))
         open_.append(node)
-        count[node.tag] = count.get(node.tag, 0) + 1
 
     def cut(k: int) -> None:
         for x in open_[k:]:
-            count[x.tag] -= 1
+            where[x.tag].pop()
         del open_[k:]
 
+    def top(tags) -> int:
+        few, many = (tags, where) if len(tags) <= len(where) else (where, tags)
+        return max((where[t][-1] for t in few if t in many and where[t]), default=0)
+
     def close_to(tags, walls) -> None:
-        if not any(count.get(t) for t in tags):
-            return
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].tag in tags:
-                cut(k)
-                return
-            if open_[k].tag in walls:
-                return
+        if (k := top(tags)) and k >= top(walls):
+            cut(k)
+
+    def text(s: str) -> None:
+        if s:
+            open_[-1].children.append(html.unescape(s))
 
     while at < n:
-        m = _TAG.search(source, at)
-        if m is None:
-            open_[-1].children.append(html.unescape(source[at:]))
+        lt = source.find("<", at)
+        if lt < 0:
+            text(source[at:])
             break
-        if m.start() > at:
-            open_[-1].children.append(html.unescape(source[at : m.start()]))
-        at = m.end()
-        name = m[2]
-        if name is None:
+        after = source[lt + 1 : lt + 3]
+        if after[:1] in ("!", "?") or after[:1] == "/" and after[1:] and not after[1].isalpha():
+            text(source[at:lt])
+            if source.startswith("<!--", lt):
+                quick = next((x for x in ("<!-->", "<!--->") if source.startswith(x, lt)), None)
+                end = _COMMENT_END.search(source, lt + 4)
+                at = lt + len(quick) if quick else end.end() if end else n
+            else:
+                at = source.find(">", lt) + 1 or n
+            continue
+        closing = after[:1] == "/"
+        if not after[closing : closing + 1].isascii() or not after[closing : closing + 1].isalpha():
+            text(source[at : lt + 1])
+            at = lt + 1
             continue
-        tag = name.lower()
-        if m[1]:
-            if tag == "p" and not count.get("p"):
+        text(source[at:lt])
+        name = _NAME.match(source, lt + 1 + closing)
+        tag = name[0].lower()
+        attrs, at, bare = _attrs(source, name.end())
+        if at is None:
+            break
+        if closing:
+            if tag == "p" and not where.get("p"):
                 open_[-1].children.append(Node("p"))
             elif tag == "br":
                 open_[-1].children.append(Node("br"))
@@ -101,7 +127,7 @@ def parse(source: str) -> Node:
                 close_to({tag}, {"table"} if tag in own else frozenset(("template",)) if tag == "table" else (_WALL if tag in _BLOCK or tag in _WALL else _WALL | _BLOCK) - {tag})
             continue
         if tag in ("html", "body"):
-            root.attrs.update((k, v) for k, v in _attrs(m[3]).items() if k not in root.attrs)
+            root.attrs.update((k, v) for k, v in attrs.items() if k not in root.attrs)
             continue
         if tag in _ENDS_P:
             close_to({"p"}, _WALL)
@@ -118,79 +144,193 @@ def parse(source: str) -> Node:
                 push(Node("tr"))
         elif tag in ("thead", "tbody", "tfoot"):
             close_to({"tr"}, {"table"})
-        node = Node(tag, _attrs(m[3]) if m[3] and not m[3].isspace() else None)
-        if tag not in _RAW and tag != "plaintext" and tag not in _VOID and not (m[3].endswith("/") and tag in ("svg", "math")):
+        node = Node(tag, attrs)
+        if tag not in _RAW and tag != "plaintext" and tag not in _VOID and not (bare and tag in ("svg", "math")):
             push(node)
             continue
         open_[-1].children.append(node)
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
             body = source[at : end.start() if end else n]
             node.children.append(html.unescape(body) if tag in ("textarea", "title") else body)
-            at = end.end() if end else n
+            at = _attrs(source, end.end())[1] if end else n
+            if at is None:
+                break
         elif tag == "plaintext":
             node.children.append(source[at:])
             break
     return root
 
 
-def _attrs(text: str) -> dict[str, str]:
+def _attrs(source: str, at: int) -> tuple[dict[str, str], int | None, bool]:
+    """Attributes from `at` on, the place after the tag's end (None: it has none), and whether the tag ends in a slash."""
     out: dict[str, str] = {}
-    for m in _ATTR.finditer(text):
-        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
-    return out
+    while True:
+        m = _ATTR.match(source, at)
+        name, at = m[1].lower(), m.end()
+        if at >= len(source):
+            return out, None, False
+        if not name:
+            return out, at + 1, source[at - 1] == "/"
+        value = ""
+        if (eq := _EQUALS.match(source, at)) is not None:
+            at = eq.end()
+            if (quote := source[at : at + 1]) in ("'", '"') and quote:
+                end = source.find(quote, at + 1)
+                if end < 0:
+                    return out, None, False
+                value, at = source[at + 1 : end], end + 1
+            else:
+                bare = _BARE.match(source, at)
+                value, at = bare[0], bare.end()
+        if name not in out:
+            out[name] = html.unescape(value)
 
 
 # ---------------------------------------------------------------- visibility
 
 
-def _declared(style: str) -> tuple[bool, bool | None, bool]:
-    """(display: none, visibility hidden or visible or not said, white space kept)"""
-    style = _SPACE.sub("", style.lower())
-    if not style:
-        return False, None, False
-    said = dict(x.split(":", 1) for x in style.split(";") if ":" in x)
-    none = said.get("display", "").startswith("none") or said.get("font-size", "").rstrip("!important") in ("0", "0px")
-    seen = said.get("visibility", "")
-    return none, None if not seen else not seen.startswith(("hidden", "collapse")), said.get("white-space", "").startswith("pre")
+def _declared(style: str) -> dict[str, tuple[bool, object]]:
+    """Property -> (important, what it says): none: display is none; seen: visibility; zero: no font size; pre: white space kept."""
+    out: dict[str, tuple[bool, object]] = {}
+    for said in style.lower().split(";"):
+        name, colon, value = said.partition(":")
+        if not colon:
+            continue
+        value, bang, _ = _SPACE.sub("", value).partition("!important")
+        name, what = name.strip(), None
+        if name == "display" and value != "revert":
+            what = ("none", value == "none") if value == "none" or value.startswith(_DISPLAYS) else None
+        elif name == "visibility" and value in ("visible", "hidden", "collapse", "initial"):
+            what = "seen", value in ("visible", "initial")
+        elif name == "font-size" and value and not (value[-1] == "%" or value.endswith("em") and not value.endswith("rem")):
+            what = "zero", value in ("0", "0px", "0pt", "0rem")
+        elif name == "font-size" and value in ("0%", "0em"):
+            what = "zero", True
+        elif name == "white-space":
+            what = "pre", value.startswith("pre")
+        if what and (bang or not out.get(what[0], (False,))[0]):
+            out[what[0]] = bool(bang), what[1]
+    return out
 
 
-def _sheet(root: Node) -> dict[tuple, tuple]:
-    rules: dict[tuple, tuple] = {}
-    todo = [root]
+def _on_screen(query: str) -> bool:
+    """Whether a list of media queries has one that holds for the screen."""
+
+    def holds(q: str) -> bool:
+        words = re.sub(r"\([^)]*\)", " ", q).replace(" and ", " ").split()
+        ok = not any(w not in ("all", "screen", "only", "not", "and") for w in words)
+        for f in _FEATURE.finditer(q):
+            name, value = f[1], f[2]
+            side = name.partition("-")[2] if name[:4] in ("min-", "max-") else name
+            if side in _SCREEN:
+                size = _LENGTH.match(value or "")
+                if value is None or size is None:
+                    ok &= value is None
+                    continue
+                x = float(size[1]) * (1 if size[2] in ("px", None) else 16)
+                ok &= _SCREEN[side] >= x if name[:4] == "min-" else _SCREEN[side] <= x if name[:4] == "max-" else _SCREEN[side] == x
+            else:
+                ok &= (name, value) in (("orientation", "landscape"), ("hover", "hover"), ("pointer", "fine"), ("prefers-color-scheme", "light")) or (name in ("color", "hover", "pointer") and value is None)
+        if q.count("(") > len(_FEATURE.findall(q)):
+            ok = False
+        return ok != ("not" in words)
+
+    try:
+        return any(holds(q.strip()) for q in query.lower().split(",")) or not query.strip()
+    except ValueError:
+        return False
+
+
+class Sheet:
+    """Rules on visibility by the id, class or tag that an element needs to have."""
+
+    def __init__(self):
+        self.by: dict[tuple[str, str], list[tuple]] = {}
+        self.n = 0
+
+    def read(self, css: str) -> None:
+        """Rules of a sheet, blocks inside of blocks included; what isn't closed ends with the sheet."""
+        css = re.sub(r"/\*.*?(?:\*/|\Z)|<!--|-->", " ", css, flags=re.S)
+        skip, heads = 0, []  # blocks that don't apply, and for each open block whether it is one
+        at = 0
+        for m in re.finditer(r"[{};]", css):
+            head, at_ = css[at : m.start()], m.end()
+            if m[0] == "{":
+                kind, _, rest = head.strip().partition(" ") if head.strip().startswith("@") else ("", "", head)
+                kind, paren, more = kind.lower().partition("(")
+                rest = paren + more + " " + rest
+                applies = not kind or (kind == "@media" and _on_screen(rest)) or (kind == "@supports" and not rest.strip().lower().startswith("not")) or kind == "@layer"
+                heads.append((applies, None if kind else rest, at_))
+                skip += not applies
+                at = at_
+            elif m[0] == "}":
+                if heads:
+                    applies, selectors, start = heads.pop()
+                    skip -= not applies
+                    if selectors is not None and not skip:
+                        self.add(selectors, css[start : m.start()])
+                at = at_
+            elif not heads or heads[-1][1] is None:
+                at = at_
+        if heads and heads[-1][1] is not None and not skip:
+            self.add(heads[-1][1], css[heads[-1][2] :])
+
+    def add(self, selectors: str, style: str) -> None:
+        said = _declared(style)
+        if not said:
+            return
+        self.n += 1
+        for one in selectors.lower().split(","):
+            k = _SELECTOR.match(one.strip())
+            if k is None or not k[0]:
+                continue
+            parts = re.findall(r"([.#])([\w-]+)", k[2])
+            ids, classes = {x for c, x in parts if c == "#"}, {x for c, x in parts if c == "."}
+            tag = "" if k[1] in (None, "*") else k[1]
+            key = ("#", min(ids)) if ids else (".", min(classes)) if classes else ("", tag)
+            rank = (sum(c == "#" for c, _ in parts), sum(c == "." for c, _ in parts), bool(tag), self.n)
+            self.by.setdefault(key, []).append((tag, ids, classes, rank, said))
+
+    def of(self, x: Node) -> list[tuple]:
+        """(rank, declarations) of the rules that an element meets."""
+        own = set(x.attrs.get("class", "").lower().split())
+        id_ = x.attrs.get("id", "").lower()
+        keys = [("", ""), ("", x.tag), *((".", c) for c in own)] + [("#", id_)] * bool(id_)
+        return [(rank, said) for k in keys for tag, ids, classes, rank, said in self.by.get(k, ()) if (not tag or tag == x.tag) and classes <= own and ids <= {id_}]
+
+
+def _sheet(root: Node) -> Sheet:
+    out, todo = Sheet(), [root]
     while todo:
         x = todo.pop()
         if x.tag == "style":
-            for m in _RULE.finditer("".join(c for c in x.children if isinstance(c, str))):
-                effect = _declared(m[2])
-                if effect[0] or effect[1] is not None:
-                    for s in m[1].lower().split(","):
-                        if (k := _SELECTOR.match(s.strip())) and (k[1] or k[2]):
-                            rules[k[1] or "", k[2] or "", k[3] or ""] = effect
+            if _on_screen(x.attrs.get("media", "")):
+                out.read("".join(c for c in x.children if isinstance(c, str)))
         else:
-            todo += [c for c in x.children if not isinstance(c, str)]
-    return rules
+            todo += [c for c in reversed(x.children) if not isinstance(c, str)]
+    return out
 
 
-def _effects(x: Node, rules: dict) -> tuple[bool, bool | None, bool]:
+def _effects(x: Node, rules: Sheet) -> dict[str, object]:
+    """What holds for an element: none, seen, zero, pre, as far as something says so."""
     a = x.attrs
-    none = x.tag in _NEVER or "hidden" in a or (x.tag == "input" and a.get("type", "").lower() == "hidden") or (x.tag == "dialog" and "open" not in a)
-    seen, kept = None, x.tag in ("pre", "textarea", "xmp", "plaintext", "listing")
-    found = []
-    if rules:
-        tag = x.tag
-        keys = [("", "", "")] + [(".", c) for c in a.get("class", "").lower().split()] + ([("#", a["id"].lower())] if "id" in a else [])
-        for k in keys[1:]:
-            found += [rules.get(("", *k)), rules.get((tag, *k))]
-        found.append(rules.get((tag, "", "")))
+    if x.tag in _NEVER or (x.tag == "input" and a.get("type", "").lower() == "hidden"):
+        return {"none": True}
+    out: dict[str, object] = {}
+    if "hidden" in a or (x.tag == "dialog" and "open" not in a):
+        out["none"] = True
+    if x.tag in ("pre", "textarea", "xmp", "plaintext", "listing"):
+        out["pre"] = True
+    found = rules.of(x) if rules.by else []
     if "style" in a:
-        found.append(_declared(a["style"]))
-    for e in found:
-        if e:
-            none |= e[0]
-            seen = e[1] if e[1] is not None else seen
-            kept |= e[2]
-    return none, seen, kept
+        found.append(((1 << 30,), _declared(a["style"])))
+    best: dict[str, tuple] = {}
+    for rank, said in found:
+        for what, (important, value) in said.items():
+            if what not in best or (important, rank) > best[what][0]:
+                best[what] = (important, rank), value
+    return out | {what: value for what, (_, value) in best.items()}
 
 
 # ---------------------------------------------------------------- rendering
@@ -314,25 +454,25 @@ def _number(text: str | None, default: int, low: int, high: int) -> int:
 def render(root: Node) -> str:
     rules = _sheet(root)
     out = Lines()
-    # (what to do, node, lines, seen, kept, depth, list or table around)
-    todo: list[tuple] = [("in", root, out, True, False, 0, None)]
+    # (what to do, node, lines, (seen, no font size), kept, depth, list or table around)
+    todo: list[tuple] = [("in", root, out, (True, False), False, 0, None)]
     while todo:
         what, x, lines, seen, kept, depth, around = todo.pop()
         if what == "in":
             if isinstance(x, str):
-                if seen:
+                if seen == (True, False):
                     lines.kept(x) if kept else lines.text(x)
                 continue
-            none, own, pre = _effects(x, rules)
-            if none:
+            own = _effects(x, rules)
+            if own.get("none"):
                 continue
-            seen = seen if own is None else own
+            seen = own.get("seen", seen[0]), own.get("zero", seen[1])
             tag, inner, state = x.tag, lines, around
             if tag == "br":
                 lines.end(True)
                 continue
             if tag in ("input", "button") and tag == "input":
-                if seen and x.attrs.get("type", "").lower() in ("submit", "button", "reset"):
+                if seen == (True, False) and x.attrs.get("type", "").lower() in ("submit", "button", "reset"):
                     lines.text(x.attrs.get("value", ""))
                 continue
             deep = depth >= _DEEPEST
@@ -354,7 +494,7 @@ def render(root: Node) -> str:
             kids = x.children
             if tag == "details" and "open" not in x.attrs:
                 kids = [c for c in kids if not isinstance(c, str) and c.tag == "summary"]
-            kept |= pre
+            kept = own.get("pre", kept)
             if tag in ("pre", "textarea") and kids and isinstance(kids[0], str) and kids[0].startswith("\n"):
                 kids = [kids[0][1:], *kids[1:]]
             if isinstance(state, Table) and tag in ("table", "thead", "tbody", "tfoot", "tr"):
@@ -414,7 +554,8 @@ def _extract(batches):
 
 
 def extract_text(pages: DataFrame, source: str = "html") -> DataFrame:
-    """pages with text instead of the column `source`; one named text is replaced. Rows are independent; an empty table gives an empty one."""
+    """pages with text instead of the column `source`; one named text is replaced. Null and empty pages have the empty text. Rows are
+    independent; an empty table gives an empty one."""
     keep = [c for c in pages.columns if c != source and c.lower() != "text"]
     src = pages.select(*[pages[c].alias(f"_c{i}") for i, c in enumerate(keep)], pages[source].alias("_html"))
     schema = ", ".join([*(f"_c{i} {pages.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)), "text string"])

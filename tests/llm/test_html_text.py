@@ -1,5 +1,6 @@
 import html
 import random
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -28,6 +29,21 @@ CASES = {
     "</p>a</div></td>b": "ab",
     "a < b <3 c": "a < b <3 c",
     "<blockquote>q<p>r</blockquote>": "    q\n\n    r",
+    "<style>@media print { .nav { display:none } }</style><p class='nav'>keep me</p>": "keep me",
+    "<style>@media screen and (min-width: 600px) { .nav { display:none } } @media (max-width: 600px) { p { display:none } }</style><p class='nav'>no</p><p>yes": "yes",
+    "<style>.m{display:none} @media (min-width:9px){.m{display:block}}</style><p class=m>yes": "yes",
+    "<style>.x{display:none} .x{display:block}</style><p class=x>yes": "yes",
+    "<style>.x{display:none}</style><p class=x style='display:block'>yes<p class=x>no": "yes",
+    "<style>.x{display:none !important}</style><p class=x style='display:block'>no<p>yes": "yes",
+    "<style>#i{display:block} p.x{display:none} .x{display:block}</style><p class=x>no<p class=x id=i>yes": "yes",
+    "<style>/* c */ .x{display:none} /* .y{display:none} */ .a .z, .z:hover{display:none}</style><p class=x>no<p class='y z'>yes": "yes",
+    "<style>@import url(x.css); @font-face{font-family:f} @keyframes k{from{display:none}} @supports (display:grid){.x{display:none}} .q.r{visibility:hidden}</style><p class=x>no<p class=q>yes<p class='q r'>no": "yes",
+    "<style media=print>p{display:none}</style><style>.x{display:none</style><p>yes<p class=x>no": "yes",
+    "<p hidden style='display:block'>yes<p style='font-size:0'>no<b style='font-size:9px'>but</b>": "yes\n\nbut",
+    "a<!-->b<!-- x --!>c<?php x ?>d</ >e<!-- open": "abcde",
+    "x<a title='>'>y</a><a title=\"open>z": "xy",
+    "<a =x b>k</a><br/>m": "k\nm",
+    "<script>a</scripty></script x>b<p>c": "b\n\nc",
     "": "",
 }
 
@@ -64,6 +80,22 @@ def test_no_visible_text_is_lost():
         assert got == want, s
 
 
+@pytest.mark.parametrize("part", ["<a \"", "<a b='", "<!--", "<p ", "</script ", "<script>", "<style>a{", "&amp", "<table><td>", "<button><i>", "</b><div>", "<i><p><div></i>"])
+def test_time_grows_with_the_page(part):
+    took = []
+    for n in (5_000, 40_000):
+        t = time.process_time()
+        html_to_text(part * n)
+        took.append(time.process_time() - t)
+    assert took[1] < 0.5 + 24 * took[0]
+
+
+def test_long_unclosed_tags():
+    t = time.process_time()
+    html_to_text("<a \"" * 250_000)
+    assert time.process_time() - t < 5
+
+
 def test_rows(spark):
     deep = "<div>" * 50000 + "x" + "<ul><li>" * 3000 + "y" + "<table><tr><td>" * 2000 + "z"
     rows = [(1, None, "u"), (2, "", "u"), (3, "<p>a", "u"), (3, "<p>a", "u"), (4, deep, "u"), (5, "<td>" + "w " * 200000, "u")]
