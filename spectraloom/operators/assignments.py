@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import chemistry as ch
 from ..functions import peptides as pe
 from .joins import range_join
+from .ranges import in_ranges, joined, percentiles, running
 
 # Monoisotopic masses of nucleotide residues, and what the ends of a chain of them add.
 NUCLEOTIDES = {"A": 329.0525, "C": 305.0413, "G": 345.0474, "U": 306.0253}
@@ -118,16 +119,17 @@ def rank_correlation(vectors: DataFrame, key: tuple, x: str = "x", y: str = "y")
 
 def deviations(values: DataFrame, key: tuple, value: str) -> DataFrame:
     """(key, median, mad, mean, deviation): median, median absolute deviation from it, mean and sample standard deviation."""
-    m = values.groupBy(*key).agg(F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
-    d = values.join(m.select(*key, "median"), list(key)).groupBy(*key).agg(F.percentile(F.abs(F.col(value) - F.col("median")), 0.5).alias("mad"))
-    return m.join(d, list(key)).select(*key, "median", "mad", "mean", "deviation")
+    m = values.groupBy(*key).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    m = joined(m, percentiles(values, key, value, [0.5]).select(*key, F.col("p")[0].alias("median")), key, "left")
+    off = joined(values, m.select(*key, "median"), key).select(*key, F.abs(F.col(value) - F.col("median")).alias("_off"))
+    return joined(m, percentiles(off, key, "_off", [0.5]).select(*key, F.col("p")[0].alias("mad")), key, "left").select(*key, "median", "mad", "mean", "deviation")
 
 
 def roc_area(hits: DataFrame, pool: tuple = ("run_id",)) -> DataFrame:
     """(pool, area): chance that a target scores above a decoy, equal scores counting half. Scores are counted before they are sorted."""
     n = hits.groupBy(*pool, "score").agg(F.sum((~F.col("decoy")).cast("long")).alias("t"), F.sum(F.col("decoy").cast("long")).alias("d"))
-    below = F.coalesce(F.sum("d").over(Window.partitionBy(*pool).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = n.select(*pool, "t", "d", (F.col("t") * (below + F.col("d") / 2)).alias("_w"))
+    n = running(in_ranges(n, pool, "score"), ["score"], {"_below": ("d", "sum")}, inclusive=False)
+    s = n.select(*pool, "t", "d", (F.col("t") * (F.col("_below") + F.col("d") / 2)).alias("_w"))
     return s.groupBy(*pool).agg((F.sum("_w") / (F.sum("t") * F.sum("d"))).alias("area"))
 
 

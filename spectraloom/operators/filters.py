@@ -44,7 +44,13 @@ def rank_scale(peaks: DataFrame, key=KEY) -> DataFrame:
 def window_mower(peaks: DataFrame, size: float = 50.0, n: int = 2, move: str = "slide", key=KEY) -> DataFrame:
     """Peaks among the n most intense of some window of this m/z size.
 
-    slide: a window starts at each peak; jump: at the first peak after the window before, the last with its share of n."""
+    slide: a window starts at each peak, all in the JVM; jump: at the first peak after the window before, the last with its share of n."""
+    if move == "slide":
+        one = F.expr(f"collect_list(struct(-intensity AS _i, mz, peak_id, _row)) OVER (PARTITION BY {', '.join(key)} ORDER BY mz RANGE BETWEEN CURRENT ROW AND {float(size)!r}D FOLLOWING)")
+        w = peaks.withColumn("_row", F.struct(*[F.col(c) for c in peaks.columns if c not in ("mz", "peak_id", *key)])).withColumn("_w", one)
+        inside = F.filter("_w", lambda x: (x["mz"] - F.col("mz") < size) & ((x["mz"] > F.col("mz")) | (x["peak_id"] >= F.col("peak_id"))))
+        top = w.select(*key, F.explode(F.slice(F.array_sort(inside), 1, n)).alias("p")).select(*key, "p.mz", "p.peak_id", "p._row").dropDuplicates([*key, "peak_id"])
+        return top.select(*[F.col(c) if c in ("mz", "peak_id", *key) else F.col(f"_row.{c}") for c in peaks.columns])
     import numpy as np
     import pandas as pd
 
@@ -61,11 +67,9 @@ def window_mower(peaks: DataFrame, size: float = 50.0, n: int = 2, move: str = "
                 end -= 1
             while end < count and mz[end] - mz[start] < size:
                 end += 1
-            m = n
-            if move == "jump" and end == count:
-                m = int(np.floor((mz[end - 1] - mz[start]) / size * n + 0.5))
+            m = int(np.floor((mz[end - 1] - mz[start]) / size * n + 0.5)) if end == count else n
             keep[start + np.argsort(high[start:end], kind="stable")[:m]] = True
-            start = end if move == "jump" else start + 1
+            start = end
         return f[keep][fields]
 
     return peaks.groupBy(*key).applyInPandas(mow, peaks.schema)

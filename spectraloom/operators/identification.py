@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_ranges, running
+
 
 def best_hits(hits: DataFrame, n: int = 1, key=("spectrum_id",)) -> DataFrame:
     """The n best hits per spectrum (higher is better, ties by id) with their rank."""
@@ -64,9 +66,13 @@ def apply_fdr(hits: DataFrame, pool: list[str], kind: str = "conservative", keep
 
 
 def estimated_fdr(hits: DataFrame, pool: list[str], pep: str) -> DataFrame:
-    """Running mean of posterior error probabilities from the best on; exact ties share the last value."""
-    w = Window.partitionBy(*pool).orderBy(pep)
-    return hits.withColumn("q_value", F.avg(pep).over(w))
+    """Running mean of posterior error probabilities from the best on; exact ties share the last value.
+
+    Equal probabilities are counted before they are ordered."""
+    counts = hits.filter(F.col(pep).isNotNull()).groupBy(*pool, pep).agg(F.count("*").alias("_n"), F.sum(pep).alias("_s"))
+    curve = running(in_ranges(counts, pool, pep), [pep], {"_n": ("_n", "sum"), "_s": ("_s", "sum")})
+    curve = curve.select(F.struct(*pool, pep).alias("_at"), (F.col("_s") / F.col("_n")).alias("q_value"))
+    return hits.withColumn("_at", F.struct(*pool, pep)).join(curve, "_at", "left").drop("_at")
 
 
 def protein_scores(hits: DataFrame) -> DataFrame:

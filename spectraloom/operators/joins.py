@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import in_ranges, running
+
 
 def range_join(points: DataFrame, spans: DataFrame, at: str, low: str | Column, high: str | Column, cell: float, on: tuple = ()) -> DataFrame:
     """points with the spans (inclusive) that hold them. cell: about the usual length of a span."""
@@ -41,10 +43,10 @@ def link_features(a: DataFrame, b: DataFrame, mz_tolerance: float, rt_tolerance:
 
 
 def nearest_before(left: DataFrame, right: DataFrame, on: str, at: str, value: str) -> DataFrame:
-    """left with the value of the last right row of the same key not after it (an as-of join): one union, one window."""
+    """left with the value of the last right row of the same key not after it (an as-of join): one union, running over ranges of `at`."""
     both = left.withColumn("_v", F.lit(None).cast(right.schema[value].dataType)).withColumn("_l", F.lit(1)).unionByName(right.select(on, at, F.col(value).alias("_v")).withColumn("_l", F.lit(0)), allowMissingColumns=True)
-    w = Window.partitionBy(on).orderBy(at, "_l").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value + "_before", F.last("_v", ignorenulls=True).over(w)).filter("_l = 1").drop("_v", "_l")
+    out = running(in_ranges(both, [on], at), [at, "_l"], {value + "_before": ("_v", "last")})
+    return out.filter("_l = 1").drop("_v", "_l", "_pool", "_range")
 
 
 def precursor_purity(peaks: DataFrame, precursors: DataFrame, tolerance: float, window: float) -> DataFrame:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as ch
+from .joins import range_join
+from .ranges import in_ranges, running
 
 
 def tic_stability(peaks: DataFrame, ms_level: int | None = 1) -> DataFrame:
@@ -58,18 +64,33 @@ def identification_rate(peaks: DataFrame, hits: DataFrame, level: int = 2) -> Da
 
 def window_ranks(peaks: DataFrame, window: float = 100.0, key: tuple = ("spectrum_id",)) -> DataFrame:
     """peaks with rank: number of the spectrum's strictly more intense peaks within half a window on either side (0 is the top)."""
-    near = F.expr(f"collect_list(intensity) OVER (PARTITION BY {', '.join(key)} ORDER BY mz RANGE BETWEEN {window / 2}D PRECEDING AND {window / 2}D FOLLOWING)")
-    return peaks.withColumn("_near", near).withColumn("rank", F.size(F.filter("_near", lambda x: x > F.col("intensity")))).drop("_near")
+    half = window / 2
+    spans = peaks.select(*key, "peak_id", F.col("mz").alias("_mz"), F.col("intensity").alias("_own"))
+    above = range_join(peaks.select(*key, "mz", "intensity"), spans, "mz", F.col("_mz") - half, F.col("_mz") + half, window, key).filter("intensity > _own")
+    n = above.groupBy(*key, "peak_id").agg(F.count("*").cast("int").alias("rank"))
+    return peaks.join(n, [*key, "peak_id"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
 
 
-def binomial_score(n: Column, total: Column, p: Column) -> Column:
+@functools.lru_cache(maxsize=1 << 16)
+def binomial_tail(n: int, total: int, p: float) -> float:
     """-10 log10 of the chance of n or more successes in `total` tries at p; 0 without tries.
 
     Terms are summed from logarithms, so that large numbers of tries don't overflow."""
-    log_choose = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, i: F.when(i <= k, a + F.log((total - k + i).cast("double")) - F.log(i.cast("double"))).otherwise(a))
-    term = lambda k: F.exp(log_choose(k) + k * F.log(p) + (total - k) * F.log(1 - p))
-    chance = F.aggregate(F.sequence(n, total), F.lit(0.0), lambda a, k: a + term(k))
-    return F.when((total > 0) & (n <= total) & (n > 0), -10 * F.log10(F.least(F.lit(1.0), chance))).otherwise(0.0)
+    if not 0 < n <= total:
+        return 0.0
+    whole = math.lgamma(total + 1)
+    chance = sum(math.exp(whole - math.lgamma(k + 1) - math.lgamma(total - k + 1) + k * math.log(p) + (total - k) * math.log1p(-p)) for k in range(n, total + 1))
+    return -10 * math.log10(min(1.0, chance)) + 0.0
+
+
+def binomial_score(p: float):
+    """(n, total) -> binomial_tail, in Arrow batches: numbers of ions are few, so a worker computes each case once."""
+
+    @F.pandas_udf("double")
+    def score(n: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([binomial_tail(int(a), int(b), p) for a, b in zip(n, total)], dtype=float)
+
+    return score
 
 
 def peak_level_score(ranked: DataFrame, matches: DataFrame, ions: DataFrame, tolerance: float, window: float = 100.0, levels: tuple = tuple(range(1, 10))) -> DataFrame:
@@ -80,7 +101,7 @@ def peak_level_score(ranked: DataFrame, matches: DataFrame, ions: DataFrame, tol
     m = matches.join(ranked.select("spectrum_id", "peak_id", "rank"), ["spectrum_id", "peak_id"])
     counts = m.groupBy("spectrum_id", "peptide").agg(*[F.sum((F.col("rank") <= k).cast("int")).alias(f"_n{k}") for k in levels])
     counts = counts.join(ions, "peptide")
-    one = lambda k: F.struct(F.round(binomial_score(F.col(f"_n{k}").cast("int"), F.col("n").cast("int"), F.lit(min(0.99, (k + 1) * 2 * tolerance / window))), 9).alias("s"), F.lit(-k).alias("k"))
+    one = lambda k: F.struct(F.round(binomial_score(min(0.99, (k + 1) * 2 * tolerance / window))(F.col(f"_n{k}"), F.col("n")), 9).alias("s"), F.lit(-k).alias("k"))
     best = F.array_max(F.array(*[one(k) for k in levels]))
     return counts.select("spectrum_id", "peptide", best["s"].alias("score"), (-best["k"]).alias("level"))
 
@@ -125,11 +146,11 @@ def pep_from_q(curve: DataFrame, pool: list[str]) -> DataFrame:
     """curve (pool, score, n, q_value) with pep: the error share of each score's own hits, monotone from the best score on.
 
     The raw value is the increase of q times the number of hits so far, per hit; its running maximum is the estimate (at most 1)."""
-    down = Window.partitionBy(*pool).orderBy(F.desc("score"))
-    c = curve.withColumn("_n", F.sum("n").over(down.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_e", F.col("q_value") * F.col("_n"))
-    raw = (F.col("_e") - F.coalesce(F.lag("_e").over(down), F.lit(0.0))) / F.col("n")
+    c = running(in_ranges(curve.withColumn("_down", -F.col("score")), pool, "_down"), ["_down"], {"_n": ("n", "sum")}).withColumn("_e", F.col("q_value") * F.col("_n"))
+    c = running(c, ["_down"], {"_last": ("_e", "last")}, inclusive=False)
+    raw = (F.col("_e") - F.coalesce("_last", F.lit(0.0))) / F.col("n")
     c = c.withColumn("_p", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)))
-    return c.withColumn("pep", F.max("_p").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_n", "_e", "_p")
+    return running(c, ["_down"], {"pep": ("_p", "max")}).drop("_n", "_e", "_p", "_last", "_down", "_pool", "_range")
 
 
 def entropy_similarity(peaks: DataFrame, pairs: DataFrame, bin_size: float = 10.0) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import range_join
+from .ranges import in_ranges, joined, percentiles, running
 
 _COMPARE = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
@@ -38,8 +39,9 @@ def extract_range(peaks: DataFrame, rt: tuple | None = None, mz: tuple | None =
 
 def normalize_map(peaks: DataFrame, level: int = 1) -> DataFrame:
     """Intensities of the level as percent of the run's largest one there; other levels stay, and so do runs without a positive one."""
-    of = F.max(F.when(F.col("ms_level") == level, F.col("intensity"))).over(Window.partitionBy("run_id"))
-    return peaks.withColumn("intensity", F.when((F.col("ms_level") == level) & (of > 0), F.col("intensity") / of * 100).otherwise(F.col("intensity")))
+    top = peaks.filter(F.col("ms_level") == level).groupBy("run_id").agg(F.max("intensity").alias("_top"))
+    of = F.col("_top")
+    return joined(peaks, top, ["run_id"], "left").withColumn("intensity", F.when((F.col("ms_level") == level) & (of > 0), F.col("intensity") / of * 100).otherwise(F.col("intensity"))).drop("_top")
 
 
 def split_parts(peaks: DataFrame, parts: int) -> DataFrame:
@@ -50,8 +52,9 @@ def split_parts(peaks: DataFrame, parts: int) -> DataFrame:
 
 def run_info(peaks: DataFrame) -> DataFrame:
     """(run_id, ms_level, n_spectra, n_peaks, lowest, q1, median, q3, highest, mean): intensity figures of each run and level."""
-    q = lambda p: F.percentile("intensity", p)
-    return peaks.groupBy("run_id", "ms_level").agg(F.countDistinct("spectrum_id").alias("n_spectra"), F.count("*").alias("n_peaks"), F.min("intensity").alias("lowest"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max("intensity").alias("highest"), F.avg("intensity").alias("mean"))
+    key, p = ["run_id", "ms_level"], F.col("p")
+    sums = peaks.groupBy(*key).agg(F.countDistinct("spectrum_id").alias("n_spectra"), F.count("*").alias("n_peaks"), F.min("intensity").alias("lowest"), F.max("intensity").alias("highest"), F.avg("intensity").alias("mean"))
+    return joined(sums, percentiles(peaks, key, "intensity", [0.25, 0.5, 0.75]), key, "left").select(*key, "n_spectra", "n_peaks", "lowest", p[0].alias("q1"), p[1].alias("median"), p[2].alias("q3"), "highest", "mean")
 
 
 def fuzzy_diff(a: DataFrame, b: DataFrame, key: tuple, values: tuple, ratio: float = 1.0, difference: float = 0.0) -> DataFrame:
@@ -163,9 +166,10 @@ def group_features(features: DataFrame, mz_tolerance: float, rt_tolerance: float
     gap above the tolerance, which no group spans; some neighbouring bands are one task's work at a time. quality: sum of
     1 - distance over the number of other maps."""
     maps = features.select("map_id").distinct().count()
-    line = Window.partitionBy("charge").orderBy("mz", "feature_id")
-    cut = F.coalesce((F.col("mz") - F.lag("mz").over(line) > mz_tolerance).cast("int"), F.lit(0))
-    bands = features.select("map_id", "feature_id", "charge", "mz", "rt", cut.alias("_cut")).withColumn("band", F.floor(F.sum("_cut").over(line) / 64)).drop("_cut")
+    line = in_ranges(features.select("map_id", "feature_id", "charge", "mz", "rt"), ["charge"], "mz")
+    line = running(line, ["mz", "feature_id"], {"_last": ("mz", "last")}, inclusive=False)
+    line = line.withColumn("_cut", F.coalesce((F.col("mz") - F.col("_last") > mz_tolerance).cast("int"), F.lit(0)))
+    bands = running(line, ["mz", "feature_id"], {"_n": ("_cut", "sum")}).select("map_id", "feature_id", "charge", "mz", "rt", F.floor(F.col("_n") / 64).alias("band"))
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["feature_id", "map_id"], kind="stable").reset_index(drop=True)

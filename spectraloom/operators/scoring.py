@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry as ch
 from .joins import range_join
+from .ranges import in_ranges, joined, running
 
 
 def candidates(peptides: DataFrame, precursors: DataFrame, tolerance: float, cell: float = 1.0) -> DataFrame:
@@ -47,9 +48,10 @@ def index_peptides(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
 
 
 def sequence_coverage(peptides: DataFrame, proteins: DataFrame) -> DataFrame:
-    """(accession, coverage): share of each sequence within a peptide that occurs in it (its first place)."""
-    hit = peptides.join(proteins, "accession").withColumn("at", F.expr("locate(peptide, sequence)"))
-    span = hit.filter("at > 0 AND length(peptide) > 0").select("accession", F.col("at").alias("a"), (F.col("at") + F.length("peptide")).alias("b")).distinct()
+    """(accession, coverage): share of each sequence within its peptides, at all places where they occur, overlapping ones too."""
+    hit = peptides.filter(F.length("peptide") > 0).select("accession", "peptide").distinct().join(proteins, "accession")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length("sequence") - F.length("peptide") + 1, F.lit(1))), lambda i: F.substring("sequence", i, F.length("peptide")) == F.col("peptide"))
+    span = hit.select("accession", F.explode(places).alias("a"), F.length("peptide").alias("_n")).select("accession", "a", (F.col("a") + F.col("_n")).alias("b")).distinct()
     o = Window.partitionBy("accession").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
     new = span.withColumn("_e", F.max("b").over(o)).withColumn("add", F.greatest(F.lit(0), F.col("b") - F.greatest("a", F.coalesce("_e", "a"))))
     total = new.groupBy("accession").agg(F.sum("add").alias("covered"))
@@ -62,10 +64,9 @@ def resolve_shared(links: DataFrame, scores: DataFrame) -> DataFrame:
     return links.select("peptide", "accession").distinct().join(scores, "accession").withColumn("_r", F.row_number().over(o)).filter("_r = 1").drop("_r")
 
 
-def normalize_quantiles(features: DataFrame) -> DataFrame:
-    """Maps with equal intensity distributions: each value becomes the mean over maps at its relative rank (of 1000 steps)."""
-    o = Window.partitionBy("map_id").orderBy("intensity", "feature_id")
-    n = F.count("*").over(Window.partitionBy("map_id"))
-    ranked = features.withColumn("_q", F.floor((F.row_number().over(o) - 1) * 1000 / n))
-    steps = ranked.groupBy("map_id", "_q").agg(F.avg("intensity").alias("m")).groupBy("_q").agg(F.avg("m").alias("m"))
-    return ranked.join(steps, "_q").withColumn("intensity", F.col("m")).drop("_q", "m")
+def normalize_quantiles(features: DataFrame, steps: int = 1000) -> DataFrame:
+    """Maps with equal intensity distributions: each value becomes the mean over maps at its relative rank (of `steps`, 1000 unless given)."""
+    run = running(in_ranges(features, ["map_id"], "intensity"), ["intensity", "feature_id"], {"_at": (F.lit(1), "sum")}, inclusive=False).drop("_pool", "_range")
+    ranked = joined(run, features.groupBy("map_id").agg(F.count("*").alias("_n")), ["map_id"]).withColumn("_q", F.floor(F.col("_at") * steps / F.col("_n"))).drop("_at", "_n")
+    level = ranked.groupBy("map_id", "_q").agg(F.avg("intensity").alias("m")).groupBy("_q").agg(F.avg("m").alias("m"))
+    return ranked.join(level, "_q").withColumn("intensity", F.col("m")).drop("_q", "m")

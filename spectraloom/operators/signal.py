@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .filters import KEY
+from .ranges import in_ranges, running
 
 
 def _each(peaks: DataFrame, f, key, order=("mz", "peak_id")) -> DataFrame:
@@ -34,21 +35,21 @@ def savitzky_golay_weights(frame: int, degree: int) -> np.ndarray:
 def savitzky_golay(peaks: DataFrame, frame: int = 11, degree: int = 4, key=KEY) -> DataFrame:
     """Least-squares polynomials over sample indices; the ends take their values from the first and last full frame.
 
-    Negative values become 0; signals shorter than the frame stay."""
+    Negative values become 0; signals shorter than the frame stay. A spectrum is an array in the JVM, as an instrument bounds it."""
     w = savitzky_golay_weights(frame, degree)
     n = len(w)
+    rest = [c for c in peaks.columns if c not in ("mz", "peak_id", "intensity", *key)]
+    g = peaks.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("mz", "peak_id", "intensity", *rest))).alias("_p"))
+    g = g.select(*key, "_p", F.transform("_p", lambda x: x["intensity"].cast("double")).alias("_y"), F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in w]).alias("_w"))
+    size = F.size("_p")
 
-    def smooth(_, y):
-        if len(y) < n:
-            return y
-        out = np.empty(len(y))
-        out[n // 2 : len(y) - n // 2] = np.lib.stride_tricks.sliding_window_view(y, n) @ w[n // 2]
-        out[: n // 2] = w[: n // 2] @ y[:n]
-        if n > 1:
-            out[-(n // 2) :] = w[-(n // 2) :] @ y[-n:]
-        return np.maximum(out, 0.0)
+    def smooth(i):
+        first = F.greatest(F.least(i - n // 2, size - n), F.lit(0))  # the frame that a point takes its value from
+        dot = F.aggregate(F.zip_with(F.slice("_y", first + 1, n), F.element_at("_w", i - first + 1), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.when(size < n, F.element_at("_y", i + 1)).otherwise(F.greatest(dot, F.lit(0.0)))
 
-    return _each(peaks, smooth, key)
+    out = g.select(*key, F.inline(F.transform("_p", lambda x, i: F.struct(x.alias("x"), smooth(i).alias("y")))))
+    return out.select(*[F.col(c) if c in key else F.col("y").alias("intensity") if c == "intensity" else F.col(f"x.{c}") for c in peaks.columns])
 
 
 def gaussian_integral(peaks: DataFrame, width: float = 0.2, key=KEY) -> DataFrame:
@@ -100,9 +101,10 @@ def mass_traces(peaks: DataFrame, ppm: float = 20.0, gaps: int = 1, shortest: in
     A run's peaks are first cut where sorted m/z leave a gap above the tolerance, so groups are narrow bands, not runs;
     a trace ends after more than `gaps` spectra without a peak. Each spectrum adds its most intense peak of the band."""
     scans = peaks.select(*key, "spectrum_id", "rt").distinct().withColumn("scan", F.row_number().over(Window.partitionBy(*key).orderBy("rt", "spectrum_id")))
-    o = Window.partitionBy(*key).orderBy("mz", "peak_id")
-    cut = (F.col("mz") - F.lag("mz").over(o) > F.col("mz") * (ppm * 1e-6)).cast("int")
-    band = peaks.withColumn("_cut", F.coalesce(cut, F.lit(0))).withColumn("band", F.sum("_cut").over(o))
+    o = ["mz", "peak_id"]
+    cut = (F.col("mz") - F.col("_last") > F.col("mz") * (ppm * 1e-6)).cast("int")
+    band = running(in_ranges(peaks, key, "mz"), o, {"_last": ("mz", "last")}, inclusive=False).withColumn("_cut", F.coalesce(cut, F.lit(0)))
+    band = running(band, o, {"band": ("_cut", "sum")}).drop("_pool", "_range")
     top = band.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "band", "spectrum_id").orderBy(F.desc("intensity"), "peak_id"))).filter("_r = 1").join(scans.drop("rt"), [*key, "spectrum_id"])
     line = Window.partitionBy(*key, "band").orderBy("scan")
     top = top.withColumn("_new", (F.col("scan") - F.lag("scan").over(line) > gaps + 1).cast("int")).withColumn("part", F.sum(F.coalesce("_new", F.lit(0))).over(line))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import range_join
+from .ranges import in_ranges, joined, percentiles, running
 
 
 def histogram(values: DataFrame, key: tuple, value: str, low: float, width: float, bins: int) -> DataFrame:
@@ -26,15 +27,18 @@ def histogram(values: DataFrame, key: tuple, value: str, low: float, width: floa
 
 def ranks(values: DataFrame, key: tuple, value: str, method: str = "average") -> DataFrame:
     """values with rank from 1: average, min, max or dense for equal values; nulls have none."""
-    line, same = Window.partitionBy(*key).orderBy(F.col(value).asc_nulls_last()), F.count("*").over(Window.partitionBy(*key, value))
-    first = F.rank().over(line)
-    out = {"min": first, "max": first + same - 1, "average": first + (same - 1) / 2, "dense": F.dense_rank().over(line)}[method]
-    return values.withColumn("rank", F.when(F.col(value).isNotNull(), out.cast("double")))
+    counts = values.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_n"))
+    run = running(in_ranges(counts, key, value), [value], {"_before": ("_n", "sum"), "_places": (F.lit(1), "sum")}, inclusive=False)
+    first = F.col("_before") + 1
+    out = {"min": first, "max": F.col("_before") + F.col("_n"), "average": first + (F.col("_n") - 1) / 2, "dense": F.col("_places") + 1}[method]
+    run = run.select(F.struct(*key, value).alias("_at"), out.cast("double").alias("rank"))
+    return values.withColumn("_at", F.struct(*key, value)).join(run, "_at", "left").drop("_at")
 
 
 def bandwidth(values: DataFrame, key: tuple, value: str) -> DataFrame:
     """(key, n, bandwidth): 0.9 n^-1/5 times the smaller of the deviation and the quartile range over 1.34; the deviation if that range is 0, then 1."""
-    s = values.groupBy(*key).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("_s"), F.percentile(value, [0.25, 0.75]).alias("_q"))
+    s = values.groupBy(*key).agg(F.count(value).alias("n"), F.stddev_samp(value).alias("_s"))
+    s = joined(s, percentiles(values, key, value, [0.25, 0.75]).withColumnRenamed("p", "_q"), key, "left")
     spread = F.least("_s", (F.col("_q")[1] - F.col("_q")[0]) / 1.34)
     spread = F.when(spread > 0, spread).when(F.col("_s") > 0, F.col("_s")).otherwise(1.0)
     return s.select(*key, "n", (0.9 * spread * F.pow(F.col("n").cast("double"), F.lit(-0.2))).alias("bandwidth"))

@@ -33,7 +33,7 @@ def _maps(s, d):
 
 
 def _short(s, d):
-    return ch.digest(tb.sequences(s, d), 0, 4, 12).select("peptide").distinct()
+    return ch.digest(tb.sequences(s, d), 0, 4, 40).select("peptide").distinct()
 
 
 def _swath(s, d):
@@ -105,7 +105,7 @@ def _curve(s, d):
 
 
 def _links(s, d):
-    return ch.digest(tb.sequences(s, d), 0, 2, 12).select("peptide", "accession")
+    return ch.digest(tb.sequences(s, d), 0, 2).select("peptide", "accession")
 
 
 def _pairs(s, d):
@@ -175,9 +175,9 @@ QUERIES = {
 }
 
 _V = "v AS (SELECT spectrum_id, peak_id, CAST(intensity AS DOUBLE) AS x, mz AS y FROM peaks)"
-_SHORT = f"q AS (SELECT DISTINCT peptide FROM (SELECT unnest({PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 4 AND 12)"
+_SHORT = f"q AS (SELECT DISTINCT peptide FROM (SELECT unnest({PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 4 AND 40)"
 _MASS = f"({count_sql(ch.RESIDUES, 'peptide')} + {ch.WATER!r})"
-_LINKS = f"l AS (SELECT DISTINCT accession, peptide FROM (SELECT accession, unnest({PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 2 AND 12)"
+_LINKS = f"l AS (SELECT DISTINCT accession, peptide FROM (SELECT accession, unnest({PARTS}) AS peptide FROM sequences) WHERE length(peptide) >= 2)"
 _TRACES = "t AS (SELECT run_id, CAST(floor(mz / 50.0) AS BIGINT) AS target, rt, SUM(intensity) AS i FROM peaks GROUP BY ALL)"
 
 

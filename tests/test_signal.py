@@ -20,3 +20,23 @@ def test_gaussian_keeps_a_constant(spark):
     got = [r.intensity for r in sg.gaussian_integral(_peaks(spark, np.full(40, 7.0), np.cumsum(rng.random(40) * 0.3)), 4.0).orderBy("mz").collect()]
     assert np.allclose(got, 7.0)
     assert [r.intensity for r in sg.gaussian_integral(_peaks(spark, [1, 2, 3], [0, 100, 200]), 1.0).orderBy("mz").collect()] == [1, 2, 3]
+
+
+def test_window_mower_jump_as_brute_force(spark):
+    import random
+
+    from spectraloom.operators.filters import window_mower
+
+    rng = random.Random(7)
+    rows = [(s, i, round(rng.random() * 300, 2), float(rng.randint(1, 50))) for s in range(8) for i in range(rng.choice([0, 1, 2, 40, 90]))]
+    df = spark.createDataFrame(rows, "spectrum_id int, peak_id int, mz double, intensity double")
+    want = set()
+    for s in range(8):
+        own = sorted((r for r in rows if r[0] == s), key=lambda r: (r[2], r[1]))
+        at = 0
+        while at < len(own):
+            inside = [r for r in own[at:] if r[2] - own[at][2] < 50]
+            n = 3 if at + len(inside) < len(own) else int((inside[-1][2] - inside[0][2]) / 50 * 3 + 0.5)
+            want |= {r[:2] for r in sorted(inside, key=lambda r: (-r[3], r[2], r[1]))[:n]}
+            at += len(inside)
+    assert {(r.spectrum_id, r.peak_id) for r in window_mower(df, 50.0, 3, "jump").collect()} == want
