@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import numpress
+
 _PEAKS = "array<struct<mz:double,intensity:float>>"
 _PEAK_TYPE = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float32())]))
 
@@ -128,6 +130,18 @@ def read_ms2(spark: SparkSession, path) -> DataFrame:
     return _parsed(_records(spark, path, "\nS"), _ms2, f"scan long, precursor_mz double, charges array<int>, rt double, peaks {_PEAKS}", kinds)
 
 
+def write_ms2(spectra: DataFrame, path: str) -> None:
+    """spectra (scan, precursor_mz, charges, rt, peaks) as MS2 part files."""
+    line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts], F.lit("\n"))
+    mz, z = F.col("precursor_mz"), F.coalesce("charges", F.array().cast("array<int>"))
+    rt = F.when(F.col("rt").isNotNull(), line("I\tRTime\t", F.col("rt").cast("string"))).otherwise("")
+    charges = F.array_join(F.transform(z, lambda c: line("Z\t", c.cast("string"), "\t", ((mz - 1.007276466) * c + 1.007276466).cast("string"))), "")
+    peaks = F.array_join(F.transform("peaks", lambda p: line(p["mz"].cast("string"), " ", p["intensity"].cast("string"))), "")
+    head = line("S\t", F.col("scan").cast("string"), "\t", F.col("scan").cast("string"), "\t", mz.cast("string"))
+    # the separator of records stands before each
+    spectra.select(F.rtrim(F.concat(head, rt, charges, peaks)).alias("value")).write.text(path)
+
+
 def read_dta(spark: SparkSession, path) -> DataFrame:
     """One spectrum a file: the precursor's singly charged mass and charge, then peaks."""
 
@@ -158,6 +172,12 @@ def write_peak_table(peaks: DataFrame, path: str) -> None:
 
 _CV = re.compile(r"<cvParam\b[^>]*?\baccession=\"(MS:\d+)\"[^>]*?>")
 _VALUE, _UNIT = re.compile(r"\bvalue=\"([^\"]*)\""), re.compile(r"\bunitName=\"([^\"]*)\"")
+#: Types of values, by their terms.
+_TYPES = {"MS:1000523": "<f8", "MS:1000521": "<f4", "MS:1000522": "<i8", "MS:1000519": "<i4"}
+_GROUP = re.compile(r"<referenceableParamGroup\b[^>]*?\bid=\"([^\"]*)\"[^>]*>(.*?)</referenceableParamGroup>", re.S)
+_GROUP_REF = re.compile(r"<referenceableParamGroupRef\b[^>]*?\bref=\"([^\"]*)\"[^>]*?(?:/>|>\s*</referenceableParamGroupRef>)", re.S)
+#: Characters of parameter groups that go to the tasks.
+_MOST_GROUPS = 16 << 20
 _ARRAY = re.compile(r"<binaryDataArray\b.*?</binaryDataArray>", re.S)
 
 
@@ -174,17 +194,26 @@ def decode_array(xml: str) -> tuple[str, np.ndarray]:
     t = _terms(xml)
     m = re.search(r"<binary>(.*?)</binary>", xml, re.S)
     raw = base64.b64decode(m[1]) if m else b""
-    if "MS:1000574" in t:
-        raw = zlib.decompress(raw) if raw else b""
-    dtype = "<f8" if "MS:1000523" in t else "<f4" if "MS:1000521" in t else "<i8" if "MS:1000522" in t else "<i4"
-    return "mz" if "MS:1000514" in t else "intensity" if "MS:1000515" in t else "other", np.frombuffer(raw, dtype)
-
-
-def _mzml(record: str):
+    kind = "mz" if "MS:1000514" in t else "intensity" if "MS:1000515" in t else "other"
+    pressed = next((k for k in numpress.DECODERS if k in t), None)
+    if raw and ("MS:1000574" in t or (pressed and numpress.DECODERS[pressed][1])):
+        raw = zlib.decompress(raw)
+    if pressed:
+        return kind, numpress.DECODERS[pressed][0](raw)
+    dtype = next((v for k, v in _TYPES.items() if k in t), None)
+    if dtype is None and raw:
+        raise ValueError("an array without a type")
+    return kind, np.frombuffer(raw, dtype or "<f8")
+
+
+def _mzml(record: str, groups: str | None = None):
     start = record.rfind("<spectrum ")
     if start < 0:
         return None
     xml = record[start:]
+    if groups and "<referenceableParamGroupRef" in xml:
+        known = {html.unescape(m[1]): m[2] for m in _GROUP.finditer(groups)}
+        xml = _GROUP_REF.sub(lambda m: known.get(html.unescape(m[1]), ""), xml)
     head = xml[: xml.index(">")]
     t = _terms(_ARRAY.sub("", xml))
     rt = t.get("MS:1000016")
@@ -200,13 +229,89 @@ def _mzml(record: str):
     )
 
 
-def read_mzml(spark: SparkSession, path) -> DataFrame:
+def read_mzml(spark: SparkSession, path, param_groups: bool = True) -> DataFrame:
     """Spectra: native id, level, retention time in seconds, centroided, polarity, first precursor and peaks.
 
-    Arrays of 32- or 64-bit floats, plain or zlib."""
+    Arrays of floats or integers of 32 or 64 bits or of MS-Numpress, plain or zlib; any other compression is an error. A file's
+    parameter groups stand in its header, which only one task sees: they are looked up by a first scan of the text, which
+    `param_groups` = False saves for files without any."""
     schema = f"native_id string, ms_level int, rt double, centroid boolean, polarity int, precursor_mz double, charge int, peaks {_PEAKS}"
     kinds = [pa.string(), pa.int32(), pa.float64(), pa.bool_(), pa.int32(), pa.float64(), pa.int32(), _PEAK_TYPE]
-    return _parsed(_records(spark, path, "</spectrum>"), _mzml, schema, kinds)
+    records = _records(spark, path, "</spectrum>")
+    found = {}
+    if param_groups:
+        heads = records.filter(F.col("value").contains("<referenceableParamGroupList")).select(F.col("_metadata.file_path").alias("f"), F.regexp_extract("value", "(?s)<referenceableParamGroupList.*?</referenceableParamGroupList>", 0).alias("g"))
+        found = {r.f: r.g for r in heads.toLocalIterator()}
+    if not found:
+        return _parsed(records, _mzml, schema, kinds)
+    if sum(map(len, found.values())) > _MOST_GROUPS:
+        raise ValueError("too many files with parameter groups: read them in several calls")
+    named = records.select("value", F.col("_metadata.file_path").alias("_file"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = [r for x, f in zip(b.column(0), b.column(1).to_pylist()) if (r := _mzml(x.as_py(), found.get(f))) is not None]
+            cols = list(zip(*rows)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+
+    return named.mapInArrow(run, schema)
+
+
+def _binary(values: np.ndarray, kind: str, pressed: str | None) -> str:
+    encode = {None: lambda v: v.astype("<f8").tobytes(), "linear": numpress.encode_linear, "pic": numpress.encode_pic, "slof": numpress.encode_slof}[pressed]
+    term = {None: '<cvParam cvRef="MS" accession="MS:1000574" name="zlib compression" value=""/>', "linear": '<cvParam cvRef="MS" accession="MS:1002746" name="MS-Numpress linear prediction compression followed by zlib compression" value=""/>',
+            "pic": '<cvParam cvRef="MS" accession="MS:1002747" name="MS-Numpress positive integer compression followed by zlib compression" value=""/>',
+            "slof": '<cvParam cvRef="MS" accession="MS:1002748" name="MS-Numpress short logged float compression followed by zlib compression" value=""/>'}[pressed]
+    what = {"mz": '<cvParam cvRef="MS" accession="MS:1000514" name="m/z array" value="" unitCvRef="MS" unitAccession="MS:1000040" unitName="m/z"/>', "intensity": '<cvParam cvRef="MS" accession="MS:1000515" name="intensity array" value=""/>'}[kind]
+    text = base64.b64encode(zlib.compress(encode(values))).decode()
+    return f'<binaryDataArray encodedLength="{len(text)}"><cvParam cvRef="MS" accession="MS:1000523" name="64-bit float" value=""/>{term}{what}<binary>{text}</binary></binaryDataArray>'
+
+
+def _spectrum_xml(at: int, r: dict, mz_as: str | None, intensity_as: str | None) -> str:
+    term = lambda acc, name, value="", unit="": f'<cvParam cvRef="MS" accession="{acc}" name="{name}" value="{value}"{unit}/>'
+    mz = np.array([p["mz"] for p in r["peaks"]], float)
+    high = np.array([p["intensity"] for p in r["peaks"]], float)
+    out = [f'<spectrum index="{at}" id="{html.escape(r["native_id"] or f"index={at}")}" defaultArrayLength="{len(mz)}">']
+    if r["ms_level"] is not None:
+        out.append(term("MS:1000511", "ms level", r["ms_level"]))
+    out.append(term("MS:1000127", "centroid spectrum") if r["centroid"] else term("MS:1000128", "profile spectrum"))
+    if r["polarity"]:
+        out.append(term("MS:1000130", "positive scan") if r["polarity"] > 0 else term("MS:1000129", "negative scan"))
+    if r["rt"] is not None:
+        out.append('<scanList count="1"><scan>' + term("MS:1000016", "scan start time", repr(float(r["rt"])), ' unitCvRef="UO" unitAccession="UO:0000010" unitName="second"') + "</scan></scanList>")
+    if r["precursor_mz"] is not None:
+        charge = term("MS:1000041", "charge state", r["charge"]) if r["charge"] is not None else ""
+        out.append('<precursorList count="1"><precursor><selectedIonList count="1"><selectedIon>' + term("MS:1000744", "selected ion m/z", repr(float(r["precursor_mz"]))) + charge + "</selectedIon></selectedIonList></precursor></precursorList>")
+    out.append(f'<binaryDataArrayList count="2">{_binary(mz, "mz", mz_as)}{_binary(high, "intensity", intensity_as)}</binaryDataArrayList></spectrum>')
+    return "".join(out)
+
+
+def write_mzml(spectra: DataFrame, path: str, run: str = "run_id", order: tuple = ("rt", "native_id"), mz_as: str | None = None, intensity_as: str | None = None) -> None:
+    """Spectra (as read_mzml gives them, and `run`) as one mzML file for each run, in folders ``run=..``; a run is one task's work, as a file is.
+
+    Arrays are zlib; mz_as and intensity_as: linear, pic or slof for MS-Numpress below it."""
+    cols = ["native_id", "ms_level", "rt", "centroid", "polarity", "precursor_mz", "charge", "peaks"]
+    n = spectra.groupBy(run).agg(F.count("*").alias("_n"))
+    rows = spectra.select(run, *cols).join(n, run).repartition(run).sortWithinPartitions(run, *order)
+
+    def emit(batches):
+        now, at = None, 0
+        for b in batches:
+            out: list[tuple] = []
+            for r in b.to_pylist():
+                if r[run] != now:
+                    if now is not None:
+                        out.append((now, "</spectrumList></run></mzML>"))
+                    now, at = r[run], 0
+                    out.append((now, f'<?xml version="1.0" encoding="UTF-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0"><run id="{html.escape(str(now))}"><spectrumList count="{r["_n"]}">'))
+                out.append((now, _spectrum_xml(at, r, mz_as, intensity_as)))
+                at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], names=["run", "value"])
+        if now is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([str(now)], pa.string()), pa.array(["</spectrumList></run></mzML>"], pa.string())], names=["run", "value"])
+
+    rows.mapInArrow(emit, "run string, value string").write.partitionBy("run").text(path)
 
 
 # ---------------------------------------------------------------- features and identifications in XML
@@ -228,6 +333,13 @@ def read_feature_xml(spark: SparkSession, path) -> DataFrame:
     return _parsed(_records(spark, path, "</feature>"), _feature, "feature_id string, rt double, mz double, intensity double, charge int, quality double", [pa.string(), *[pa.float64()] * 3, pa.int32(), pa.float64()])
 
 
+def write_feature_xml(features: DataFrame, path: str) -> None:
+    """features (feature_id, rt, mz, intensity, charge, quality) as features in part files that read_feature_xml reads."""
+    tag = lambda name, c, more="": F.when(F.col(c).isNotNull(), F.concat(F.lit(f"<{name}{more}>"), F.col(c).cast("string"), F.lit(f"</{name}>"))).otherwise("")
+    body = [tag("position", "rt", ' dim="0"'), tag("position", "mz", ' dim="1"'), tag("intensity", "intensity"), tag("overallquality", "quality"), tag("charge", "charge")]
+    features.select(F.concat(F.lit('<feature id="'), F.col("feature_id").cast("string"), F.lit('">'), *body, F.lit("</feature>")).alias("value")).write.text(path)
+
+
 def _peptide_hits(record: str):
     start = record.rfind("<PeptideIdentification")
     if start < 0:
