@@ -25,6 +25,10 @@ ATOMS = {
     "H": (1.00782503207, ((0, 0.999885), (1, 0.000115))), "C": (12.0, ((0, 0.9893), (1, 0.0107))), "N": (14.0030740048, ((0, 0.99632), (1, 0.00368))),
     "O": (15.99491461956, ((0, 0.99757), (1, 0.00038), (2, 0.00205))), "S": (31.972071, ((0, 0.9493), (1, 0.0076), (2, 0.0429), (4, 0.0002))), "P": (30.97376163, ((0, 1.0),)),
     "Na": (22.9897692809, ((0, 1.0),)), "K": (38.96370668, ((0, 0.932581), (1, 0.000117), (2, 0.067302))), "Cl": (34.96885268, ((0, 0.7576), (2, 0.2424))), "Fe": (55.9349375, ((-2, 0.05845), (0, 0.91754), (1, 0.02119), (2, 0.00282))),
+    "Li": (7.01600455, ((-1, 0.0759), (0, 0.9241))), "B": (11.0093054, ((-1, 0.199), (0, 0.801))), "F": (18.99840322, ((0, 1.0),)), "Mg": (23.9850417, ((0, 0.7899), (1, 0.1), (2, 0.1101))), "Al": (26.98153863, ((0, 1.0),)),
+    "Si": (27.9769265325, ((0, 0.92223), (1, 0.04685), (2, 0.03092))), "Ca": (39.96259098, ((0, 0.96941), (2, 0.00647), (3, 0.00135), (4, 0.02086), (6, 0.00004), (8, 0.00187))), "Mn": (54.9380451, ((0, 1.0),)), "Co": (58.933195, ((0, 1.0),)),
+    "Cu": (62.9295975, ((0, 0.6915), (2, 0.3085))), "Zn": (63.9291422, ((0, 0.48268), (2, 0.27975), (3, 0.04102), (4, 0.19024), (6, 0.00631))), "As": (74.9215965, ((0, 1.0),)),
+    "Se": (79.9165213, ((-6, 0.0089), (-4, 0.0937), (-3, 0.0763), (-2, 0.2377), (0, 0.4961), (2, 0.0873))), "Br": (78.9183371, ((0, 0.5069), (2, 0.4931))), "I": (126.904473, ((0, 1.0),)),
 }
 
 
