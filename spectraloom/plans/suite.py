@@ -11,7 +11,7 @@ from ..operators import joins as jo
 from ..sources import tables as tb
 from ..sources.tables import sql as _sql
 from ..streaming import merge as mg
-from . import assign, extra, more, stats
+from . import assign, deep, extra, more, stats
 from .sqltext import PARTS, count_sql
 
 FLAGSHIP = "region_aggregation"
@@ -72,7 +72,7 @@ QUERIES = {
     "resolve_conflicts": lambda s, d: idn.resolve_conflicts(tb.hits(s, d).withColumn("feature_id", F.col("hit_id") % 997)).select("feature_id", "hit_id", *_r("score")),
     "digest": lambda s, d: ch.digest(tb.sequences(s, d), 1, 2, 30).select("accession", "peptide", F.col("start").cast("long").alias("start"), F.col("missed").cast("long").alias("missed")),
     "peptide_properties": lambda s, d: tb.sequences(s, d).select("accession", ch.peptide_mass(F.col("sequence")).alias("mass"), ch.gravy(F.col("sequence")).alias("gravy"), ch.net_charge(F.col("sequence"), 7.0).alias("charge")).select("accession", *_r("mass", "gravy", "charge")),
-    "fragment_ions": lambda s, d: ch.fragment_ions(ch.digest(tb.sequences(s, d), 0, 4, 12).select("peptide").distinct()).select("peptide", "ion", F.col("position").cast("long").alias("position"), *_r("mz")),
+    "fragment_ions": lambda s, d: ch.fragment_ions(ch.digest(tb.sequences(s, d), 0, 4, 40).select("peptide").distinct()).select("peptide", "ion", F.col("position").cast("long").alias("position"), *_r("mz")),
     "decoy_sequences": lambda s, d: tb.sequences(s, d).select("accession", ch.decoy_sequence(F.col("sequence")).alias("decoy")),
     "missed_cleavages": lambda s, d: tb.sequences(s, d).select((F.size(ch.cut_tryptic(F.col("sequence"))) - 1).cast("long").alias("missed")).groupBy("missed").agg(F.count("*").alias("n")),
     "isoelectric_point": lambda s, d: tb.sequences(s, d).select("accession", F.round(ch.isoelectric_point(F.col("sequence")), 4).alias("pi")),
@@ -161,11 +161,11 @@ SELECT accession, decoy, round(score, 4) AS score, round(q_value, 8) AS q_value
     "digest": f"""WITH p AS (SELECT accession, {_PARTS} AS p FROM sequences), s AS (SELECT accession, p, unnest(range(0, len(p))) AS start FROM p), m AS (SELECT *, unnest([0, 1]) AS missed FROM s)
 SELECT * FROM (SELECT accession, array_to_string(list_slice(p, start + 1, start + 1 + missed), '') AS peptide, start, CAST(missed AS BIGINT) AS missed FROM m WHERE start + missed < len(p)) WHERE length(peptide) BETWEEN 2 AND 30""",
     "peptide_properties": f"SELECT accession, round(CASE WHEN length(sequence) > 0 THEN {_count(ch.RESIDUES)} + {ch.WATER!r} ELSE 0.0 END, 4) AS mass, round({_count(ch.HYDROPATHY)} / NULLIF(length(sequence), 0), 4) AS gravy, round({_count(_CHARGE)} + CAST({_ENDS!r} AS DOUBLE), 4) AS charge FROM sequences",
-    "fragment_ions": f"""WITH p AS (SELECT DISTINCT peptide FROM (SELECT unnest({_PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 4 AND 12), o AS (SELECT peptide, unnest(range(1, length(peptide))) AS position FROM p)
+    "fragment_ions": f"""WITH p AS (SELECT DISTINCT peptide FROM (SELECT unnest({_PARTS}) AS peptide FROM sequences) WHERE length(peptide) BETWEEN 4 AND 40), o AS (SELECT peptide, unnest(range(1, length(peptide))) AS position FROM p)
 SELECT peptide, 'b' AS ion, position, round({_count(ch.RESIDUES, 'left(peptide, position)')} + {ch.PROTON!r}, 4) AS mz FROM o UNION ALL SELECT peptide, 'y', position, round({_count(ch.RESIDUES, 'right(peptide, position)')} + {ch.WATER!r} + {ch.PROTON!r}, 4) FROM o""",
     "decoy_sequences": "SELECT accession, reverse(left(sequence, greatest(length(sequence) - 1, 0))) || right(sequence, 1) AS decoy FROM sequences",
     "missed_cleavages": f"SELECT CAST(len({_PARTS}) - 1 AS BIGINT) AS missed, COUNT(*) AS n FROM sequences GROUP BY 1",
     "merge_spectra": "SELECT run_id, CAST(floor(rt / 10.0) AS BIGINT) AS rt_cell, CAST(floor(mz / 10.0) AS BIGINT) AS mz_cell, round(SUM(intensity), 4) AS intensity, COUNT(*) AS n FROM peaks GROUP BY ALL",
 }
-SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL | extra.SQL | assign.SQL | stats.SQL
-QUERIES |= more.QUERIES | extra.QUERIES | assign.QUERIES | stats.QUERIES
+SQL = {k: _sql(v) for k, v in SQL.items()} | more.SQL | extra.SQL | assign.SQL | stats.SQL | deep.SQL
+QUERIES |= more.QUERIES | extra.QUERIES | assign.QUERIES | stats.QUERIES | deep.QUERIES
