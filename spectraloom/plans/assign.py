@@ -9,7 +9,7 @@ from ..functions import peptides as pe
 from ..operators import assignments as asg
 from ..sources import tables as tb
 from .extra import _MASS, _SHORT, _V, _pairs, _r, _short, _vectors
-from .sqltext import PARTS, count_sql
+from .sqltext import count_sql
 
 _FROM, _TO = "DEFHIKLMNPQRSTVWY", "ACGUACGUACGUACGUA"
 LINKER = 138.06808
