@@ -253,15 +253,14 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
     rare = C.materialize(rare.select("leader", "x", "rep", "comp", "out", "nv", "both", (F.col("nv") - F.col("both") - F.col("before")).alias("left")), "rare")
 
     def unsettled(rare: DataFrame) -> DataFrame:
-        """The groups (leader, x) that hold several components."""
-        groups = rare.groupBy("leader", "x").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("out").alias("_o")).filter("_a != _b AND _o").select("leader", "x")
-        return rare.join(groups, ["leader", "x"])
+        """The groups (leader, x) that hold several components, each with one of its members, m. Partial sums make them, so a common x is dealt over all tasks."""
+        one = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "comp", "nv", "both", "left"))
+        return rare.groupBy("leader", "x").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("out").alias("_o"), one.alias("m")).filter("_a != _b AND _o").select("leader", "x", "m")
 
     shared = reach(F.least("pb", "both") + F.least("pl", "left"), F.col("pn"), F.col("nv"))
     as_p = lambda df: df.select("leader", "x", F.col("rep").alias("p"), F.col("comp").alias("pc"), F.col("nv").alias("pn"), F.col("both").alias("pb"), F.col("left").alias("pl"))
     while True:  # stars of those that share x
-        rare = unsettled(rare)
-        head = as_p(rare.groupBy("leader", "x").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "comp", "nv", "both", "left")).alias("m")).select("leader", "x", "m.*"))
+        head = as_p(unsettled(rare).select("leader", "x", "m.*"))
         pairs = rare.join(head, ["leader", "x"]).filter((F.col("pc") != F.col("comp")) & shared).groupBy("rep").agg(F.min("p").alias("u")).select("u", F.col("rep").alias("v"))
         new = verified(untested(pairs, tested))
         n, linked = new.agg(F.count("*"), F.coalesce(F.sum(F.col("alike").cast("int")), F.lit(0))).first()
@@ -272,7 +271,7 @@ def near_duplicate_classes(docs: DataFrame, text: str = "text", shingle: int = 5
         if linked <= go_on * n:
             break
         rare = C.materialize(rare, "rare")
-    rare = C.materialize(unsettled(rare), "rare")
+    rare = C.materialize(rare.join(unsettled(rare).select("leader", "x"), ["leader", "x"]), "rare")
     lo, hi = F.col("pn") * least, most(F.col("pb") + F.col("pl"))
     mine = as_p(rare.filter("out")).filter(hi >= lo).select("*", F.explode(F.sequence(cell(lo), cell(hi))).alias("cell"))
     more = mine.join(rare.withColumn("cell", cell(F.col("nv"))), ["leader", "x", "cell"]).filter((F.col("pc") != F.col("comp")) & shared)
