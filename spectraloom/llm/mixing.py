@@ -111,10 +111,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             break
         spare *= 2
     wanted = taken.filter("n > 0").select(F.struct("source").alias("s"), "source_size", F.least(F.round("target").cast("long"), F.col("n") * block).alias("take"))
+    wanted = C.materialize(wanted, "wanted")
     # documents as laid out in each pass
     chunks = max(1, n_docs // _CHUNK)
     passes = rows.filter("size > 0").select("_key", "_u", F.struct("source").alias("s"), "size").join(wanted, "s").select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("take") - 1) / F.col("source_size")).cast("int"))).alias("pass"))
     passes = passes.withColumn("_h", F.xxhash64("_u", "pass", F.lit(seed))).withColumn("_chunk", F.floor((F.col("_h") / 2.0**64 + 0.5) * chunks).cast("long"))
+    # by all of these: a source's rows alone would meet in one task
+    passes = passes.repartition("s", "pass", "_chunk")
     laid = _running(passes, ["s", "pass"], "_chunk", ["_h", "_key"], "size", "_at").withColumn("_at", F.col("_at") + F.col("pass") * F.col("source_size")).filter("_at < take")
     parts = laid.select("s", "pass", "_key", "size", "take", "_at", F.explode(F.sequence(F.floor(F.col("_at") / block), F.floor((F.least(F.col("_at") + F.col("size"), "take") - 1) / block))).alias("rank"))
     lo = F.greatest(F.col("rank") * block, "_at")
