@@ -182,10 +182,11 @@ def minimum_covariance(rows: DataFrame, part: float = 0.75, starts: int = 5, go_
         sums = [F.sum(F.col(c) * F.col("_share")).alias(c) for c in ["n", *(f"s{i}" for i in range(_P)), *(f"p{i}_{j}" for i, j in _PAIRS)]]
         now = _params(cells.groupBy("_g", "_start").agg(*sums, F.first("logdet").alias("last")), consistency(part), "step", least)
         if step == 1:
-            now = now.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= go_on).drop("_at")
+            now = C.materialize(now.withColumn("_at", F.row_number().over(best)).filter(F.col("_at") <= go_on).drop("_at"), "step")
         elif step > 1 and (now.agg(F.max("moved")).first()[0] or 0) < 1e-3:
             break
-    now = now.withColumn("_at", F.row_number().over(best)).filter("_at = 1").drop("_at")
+    # a table of its own: joins know how small it is, and no group's rows have to meet
+    now = C.materialize(now.withColumn("_at", F.row_number().over(best)).filter("_at = 1").drop("_at"), "best")
     near = rows.join(now, "_g").select("_g", "_start", "logdet", "x", _distance().alias("d")).filter(F.col("d") <= chi2_quantile(_P, 0.975))
     last = _params(near.groupBy("_g", "_start").agg(*_moments(), F.first("logdet").alias("last")), consistency(0.975), "reweighted", least)
     return last.join(now.select("_g", F.col("logdet").alias("_raw")), "_g").select("_g", "mean", "inv", F.col("_raw").alias("logdet"))
