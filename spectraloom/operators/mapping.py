@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import range_join
+from .ranges import in_ranges, running
 
 
 def pose_shift(model: DataFrame, scene: DataFrame, mz_tolerance: float = 0.5, bucket: float = 3.0, largest: float = 1000.0, points: int | None = 2000) -> DataFrame:
@@ -93,13 +94,13 @@ def spectra_of_features(precursors: DataFrame, features: DataFrame, mz_tolerance
 def interpolate_times(points: DataFrame, anchors: DataFrame, at: str = "rt", key: tuple = ("map_id",)) -> DataFrame:
     """points with `aligned`: linear between the anchors (key, x, y) around them; beyond the first or last one, shifted as that one.
 
-    One union and one window each way (an as-of join from both sides). Anchors at one x count as their mean y; keys without
-    anchors keep their times."""
-    a = anchors.groupBy(*key, "x").agg(F.avg("y").alias("y"))
+    One union, running over ranges of the time from both sides (as-of joins), so no map is one task's work. Anchors at one x count
+    as their mean y; keys without anchors keep their times."""
+    a = anchors.filter(F.col("x").isNotNull()).groupBy(*key, "x").agg(F.avg("y").alias("y"))
     both = points.withColumn("_at", F.col(at).cast("double")).withColumn("_own", F.lit(1)).unionByName(a.select(*key, F.col("x").cast("double").alias("_at"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("_p"), F.lit(0).alias("_own")), allowMissingColumns=True)
-    line = Window.partitionBy(*key).orderBy("_at", "_own")
-    p = both.withColumn("_l", F.last("_p", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_r", F.first("_p", ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))).filter("_own = 1")
+    p = running(in_ranges(both, key, "_at"), ["_at", "_own"], {"_l": ("_p", "last")}).drop("_pool", "_range").withColumn("_back", F.lit(0.0) - F.col("_at"))
+    p = running(in_ranges(p, key, "_back"), ["_back", F.desc("_own")], {"_r": ("_p", "last")}).filter("_own = 1")
     x = F.col("_at")
     inside = F.col("_l.y") + (x - F.col("_l.x")) / (F.col("_r.x") - F.col("_l.x")) * (F.col("_r.y") - F.col("_l.y"))
     beyond = x + F.coalesce(F.col("_l.y") - F.col("_l.x"), F.col("_r.y") - F.col("_r.x"), F.lit(0.0))
-    return p.withColumn("aligned", F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), inside).otherwise(beyond)).drop("_at", "_own", "_p", "_l", "_r")
+    return p.withColumn("aligned", F.when(F.col("_l").isNotNull() & F.col("_r").isNotNull(), inside).otherwise(beyond)).drop("_at", "_own", "_p", "_l", "_r", "_back", "_pool", "_range")

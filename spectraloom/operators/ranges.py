@@ -16,7 +16,10 @@ def in_ranges(df: DataFrame, pool: tuple | list, by: str, n: int = RANGES) -> Da
     """df with _pool (the pool's columns together) and _range, a number that rises with `by`; nulls come first."""
     df = df.withColumn("_pool", F.struct(*pool) if pool else F.struct(F.lit(0)))
     cuts = df.groupBy("_pool").agg(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000).alias("_cuts"))
-    return df.join(cuts, "_pool").withColumn("_range", F.when(F.col(by).isNotNull(), F.size(F.filter("_cuts", lambda x: x < F.col(by)))).otherwise(-1)).drop("_cuts")
+    # how many cuts are below: a search that halves, as a look at each of them costs more than all that follows
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((n - 1).bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(by), at + step).otherwise(at))
+    return df.join(cuts, "_pool").withColumn("_range", F.when(F.col(by).isNotNull(), below).otherwise(-1)).drop("_cuts")
 
 
 def running(df: DataFrame, order: list, what: dict[str, tuple[str | Column, str]], inclusive: bool = True) -> DataFrame:
