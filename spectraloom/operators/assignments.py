@@ -175,7 +175,8 @@ def peptide_isotopes(peptides: DataFrame, peaks: int = 6) -> DataFrame:
 def compositions(masses: DataFrame, alphabet: dict[str, float], tolerance: float, most: int = 10_000) -> DataFrame:
     """masses (id, mass) -> (id, composition, error): counts of letters, like ``A2 G1``, whose summed mass is within tolerance.
 
-    A depth-first search, heaviest letter first, cut where the rest can't be reached. More than `most` for one mass is an error."""
+    A depth-first search, heaviest letter first, cut where the rest can't be reached. More than `most` for one mass is an error.
+    Each distinct mass is searched once; its ids get what was found by a join."""
     letters = sorted(alphabet, key=lambda k: -alphabet[k])
 
     def search(total: float) -> list[tuple[str, float]]:
@@ -198,7 +199,8 @@ def compositions(masses: DataFrame, alphabet: dict[str, float], tolerance: float
 
     def run(frames):
         for f in frames:
-            rows = [(i, c, e) for i, m in zip(f["id"], f["mass"]) for c, e in search(float(m))]
-            yield pd.DataFrame(rows, columns=["id", "composition", "error"])
+            yield pd.DataFrame({"mass": f["mass"], "_found": [[{"composition": c, "error": e} for c, e in search(float(m))] for m in f["mass"]]})
 
-    return masses.select(F.col("id").cast("long").alias("id"), F.col("mass").cast("double").alias("mass")).mapInPandas(run, "id long, composition string, error double")
+    rows = masses.select(F.col("id").cast("long").alias("id"), F.col("mass").cast("double").alias("mass"))
+    found = rows.select("mass").distinct().mapInPandas(run, "mass double, _found array<struct<composition: string, error: double>>")
+    return rows.join(found, "mass").select("id", F.inline("_found"))
