@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from . import numpress
 
+#: Bytes of an Arrow batch, and of the text that is Python objects at a time.
+_BATCH_BYTES, _OBJECT_BYTES = 4 << 20, 1 << 20
 _PEAKS = "array<struct<mz:double,intensity:float>>"
 _PEAK_TYPE = pa.list_(pa.struct([("mz", pa.float64()), ("intensity", pa.float32())]))
 
@@ -27,17 +29,48 @@ def _records(spark: SparkSession, path, end: str) -> DataFrame:
     return spark.read.option("lineSep", end).text(path)
 
 
+def _mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), by batches of 4 MB at most; the session's own limit stays where it is lower, else it is set to this."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    n, unit = re.fullmatch(r"(-?\d+)([kmgt]?)i?b?", conf.get(key).strip().lower()).groups()
+    if not 0 < int(n) * 1024 ** " kmgt".index(unit or " ") <= _BATCH_BYTES:
+        conf.set(key, str(_BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def _batches(rows, size, names: list, kinds: list):
+    """Record batches of rows (tuples); one ends as soon as the sizes of its rows reach 1 MB, so few rows are Python objects at a time."""
+    out: list[tuple] = []
+    total = 0
+    for r in rows:
+        out.append(r)
+        total += size(r)
+        if total >= _OBJECT_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+            out, total = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
 def _parsed(df: DataFrame, parse, schema: str, kinds: list) -> DataFrame:
-    """parse(record) -> tuple or None, over the text column of df."""
+    """parse(record) -> tuple or None, over the text columns of df."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         for b in batches:
-            rows = [r for x in b.column(0) if (r := parse(x.as_py())) is not None]
-            cols = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+            said = 0
 
-    return df.mapInArrow(run, schema)
+            def rows():
+                nonlocal said
+                for x in zip(*b.columns):
+                    x = [v.as_py() for v in x]
+                    said = len(x[0] or "")
+                    if (r := parse(*x)) is not None:
+                        yield r
+
+            yield from _batches(rows(), lambda r: said + 64, names, kinds)
+
+    return _mapped(df, run, schema)
 
 
 def explode_peaks(spectra: DataFrame) -> DataFrame:
@@ -247,15 +280,7 @@ def read_mzml(spark: SparkSession, path, param_groups: bool = True) -> DataFrame
     if sum(map(len, found.values())) > _MOST_GROUPS:
         raise ValueError("too many files with parameter groups: read them in several calls")
     named = records.select("value", F.col("_metadata.file_path").alias("_file"))
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches):
-        for b in batches:
-            rows = [r for x, f in zip(b.column(0), b.column(1).to_pylist()) if (r := _mzml(x.as_py(), found.get(f))) is not None]
-            cols = list(zip(*rows)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
-
-    return named.mapInArrow(run, schema)
+    return _parsed(named, lambda x, f: _mzml(x, found.get(f)), schema, kinds)
 
 
 def _binary(values: np.ndarray, kind: str, pressed: str | None) -> str:
@@ -297,21 +322,25 @@ def write_mzml(spectra: DataFrame, path: str, run: str = "run_id", order: tuple
 
     def emit(batches):
         now, at = None, 0
-        for b in batches:
-            out: list[tuple] = []
-            for r in b.to_pylist():
-                if r[run] != now:
-                    if now is not None:
-                        out.append((now, "</spectrumList></run></mzML>"))
-                    now, at = r[run], 0
-                    out.append((now, f'<?xml version="1.0" encoding="UTF-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0"><run id="{html.escape(str(now))}"><spectrumList count="{r["_n"]}">'))
-                out.append((now, _spectrum_xml(at, r, mz_as, intensity_as)))
-                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k, _ in out], pa.string()), pa.array([v for _, v in out], pa.string())], names=["run", "value"])
-        if now is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([str(now)], pa.string()), pa.array(["</spectrumList></run></mzML>"], pa.string())], names=["run", "value"])
-
-    rows.mapInArrow(emit, "run string, value string").write.partitionBy("run").text(path)
+
+        def lines():
+            nonlocal now, at
+            for b in batches:
+                for i in range(b.num_rows):
+                    (r,) = b.slice(i, 1).to_pylist()
+                    if r[run] != now:
+                        if now is not None:
+                            yield str(now), "</spectrumList></run></mzML>"
+                        now, at = r[run], 0
+                        yield str(now), f'<?xml version="1.0" encoding="UTF-8"?>\n<mzML xmlns="http://psi.hupo.org/ms/mzml" version="1.1.0"><run id="{html.escape(str(now))}"><spectrumList count="{r["_n"]}">'
+                    yield str(now), _spectrum_xml(at, r, mz_as, intensity_as)
+                    at += 1
+            if now is not None:
+                yield str(now), "</spectrumList></run></mzML>"
+
+        yield from _batches(lines(), lambda r: len(r[1]) + 64, ["run", "value"], [pa.string(), pa.string()])
+
+    _mapped(rows, emit, "run string, value string").write.partitionBy("run").text(path)
 
 
 # ---------------------------------------------------------------- features and identifications in XML

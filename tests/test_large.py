@@ -92,3 +92,17 @@ def test_equal_masses_are_searched_once(spark):
     for r in found.collect():
         got.setdefault(r.id, set()).add(r.composition)
     assert got == {i: want[15.0 if i % 2 else 11.0] for i in range(200)}
+
+
+def test_few_records_are_objects_at_a_time(spark, tmp_path):
+    from spectraloom.sources import formats as fm
+
+    made = list(fm._batches(((i, "x" * 1000) for i in range(5000)), lambda r: len(r[1]), ["i", "s"], [fm.pa.int64(), fm.pa.string()]))
+    assert max(b.num_rows for b in made) < 1100 and [i for b in made for i in b.column(0).to_pylist()] == list(range(5000))
+    path = str(tmp_path / "mgf")
+    df = spark.range(300).selectExpr("'s' || id AS title", "500.5D AS precursor_mz", "2 AS charge", "id * 1.0D AS rt", "transform(sequence(1, 400), k -> struct(k * 1.5D AS mz, cast(k AS float) AS intensity)) AS peaks")
+    fm.write_mgf(df.coalesce(1), path)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    got = fm.read_mgf(spark, path)
+    assert got.count() == 300 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+    assert {(r.title, len(r.peaks)) for r in got.collect()} == {(f"s{i}", 400) for i in range(300)}
