@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,15 +139,36 @@ def hydrophobic_moment(proteins: DataFrame, window: int = 11, angle: float = 100
 def sequence_tags(peaks: DataFrame, length: int = 3, tolerance: float = 0.02, key: tuple = ("spectrum_id",)) -> DataFrame:
     """(key, tag, first_mz): chains of `length` gaps between peaks that are a residue's mass each. L stands for I as well.
 
-    Gaps are found once by a range join within a spectrum; chains grow by joining them on the peak that they share."""
+    A spectrum, whose size an instrument bounds, is one group: gaps are found in its sorted m/z, and chains grow by the peak that they share.
+    Peaks are shuffled once, gaps and chains never."""
     masses = {k: v for k, v in ch.RESIDUES.items() if k != "I"}
-    step = F.explode(F.array(*[F.struct(F.lit(k).alias("r"), F.lit(v).alias("m")) for k, v in masses.items()]))
-    want = peaks.select(*key, F.col("peak_id").alias("a"), F.col("mz").alias("a_mz"), step.alias("_s")).select(*key, "a", "a_mz", F.col("_s.r").alias("r"), (F.col("a_mz") + F.col("_s.m")).alias("_want"))
-    gaps = range_join(peaks.select(*key, F.col("peak_id").alias("b"), "mz"), want, "mz", F.col("_want") - tolerance, F.col("_want") + tolerance, max(1.0, 2 * tolerance), key).select(*key, "a", "a_mz", "r", "b")
-    tags = gaps.select(*key, F.col("a_mz").alias("first_mz"), F.col("r").alias("tag"), F.col("b").alias("_end"))
-    for _ in range(length - 1):
-        tags = tags.join(gaps.withColumnRenamed("a", "_end"), [*key, "_end"]).select(*key, "first_mz", F.concat("tag", "r").alias("tag"), F.col("b").alias("_end"))
-    return tags.select(*key, "tag", "first_mz").distinct()
+    letters, names = np.array(list(masses)), list(key)
+
+    def spread(low, high):
+        n = high - low
+        return np.repeat(np.arange(len(n)), n), np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("mz", kind="stable")
+        mz, peak = f["mz"].to_numpy(float), np.unique(f["peak_id"].to_numpy(), return_inverse=True)[1]
+        gaps = []
+        for r, m in enumerate(masses.values()):
+            want = mz + m
+            i, j = spread(np.searchsorted(mz, want - tolerance, "left"), np.searchsorted(mz, want + tolerance, "right"))
+            gaps.append((i, j, np.full(len(i), r)))
+        i, j, r = (np.concatenate(x) for x in zip(*gaps))
+        order = np.argsort(peak[i], kind="stable")
+        start, end, r, first = peak[i][order], peak[j][order], r[order], mz[i][order]
+        tags, last, at = letters[r], end, first
+        for _ in range(length - 1):
+            i, j = spread(np.searchsorted(start, last, "left"), np.searchsorted(start, last, "right"))
+            tags, last, at = np.char.add(tags[i], letters[r[j]]), end[j], at[i]
+        found = pd.DataFrame({"tag": tags.astype(object), "first_mz": at}).drop_duplicates()
+        return found.assign(**{k: f[k].iloc[0] for k in names})[[*names, "tag", "first_mz"]]
+
+    p = peaks.select(*key, "peak_id", F.col("mz").cast("double").alias("mz")).dropna()
+    schema = ", ".join(f"`{c}` {p.schema[c].dataType.simpleString()}" for c in names)
+    return p.groupBy(*key).applyInPandas(run, f"{schema}, tag string, first_mz double")
 
 
 def neighbour_peptides(relevant: DataFrame, others: DataFrame, mass_tolerance: float = 0.01, bin_size: float = 0.05, least: float = 0.25) -> DataFrame:
