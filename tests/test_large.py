@@ -106,3 +106,61 @@ def test_few_records_are_objects_at_a_time(spark, tmp_path):
     got = fm.read_mgf(spark, path)
     assert got.count() == 300 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
     assert {(r.title, len(r.peaks)) for r in got.collect()} == {(f"s{i}", 400) for i in range(300)}
+
+
+def test_nearest_are_found_within_tasks(spark):
+    from spectraloom.operators import joins as jo
+
+    rng = random.Random(8)
+    make = lambda n, k: [(k + i, round(rng.uniform(0, 40), 1), float(rng.randint(0, 60)), rng.randint(1, 2)) for i in range(n)]
+    a, b = make(150, 0), make(170, 1000)
+    left, right = (spark.createDataFrame(x, "feature_id long, mz double, rt double, charge int") for x in (a, b))
+    near = [(x, y) for x in a for y in b if x[3] == y[3] and y[1] - 1.0 <= x[1] <= y[1] + 1.0 and abs(x[2] - y[2]) <= 10.0]
+
+    def both(d):
+        of = {}
+        for x, y in near:
+            of.setdefault(x[0], []).append((d(x, y), y[0]))
+            of.setdefault(y[0], []).append((d(x, y), x[0]))
+        return {k: sorted(v) for k, v in of.items()}
+
+    of = both(lambda x, y: (abs(x[1] - y[1]) / 1.0) * (abs(x[1] - y[1]) / 1.0) + (abs(x[2] - y[2]) / 10.0) * (abs(x[2] - y[2]) / 10.0))
+    links = jo.link_features(left, right, 1.0, 10.0)
+    assert " join " not in _plan(links)
+    assert {(r.a_id, r.b_id) for r in links.collect()} == {(k, v[0][1]) for k, v in of.items() if k < 1000 and of[v[0][1]][0][1] == k}
+    of = both(lambda x, y: (abs(x[1] - y[1]) / 1.0 + abs(x[2] - y[2]) / 10.0) / 2)
+    second = lambda v: v[1][0] if len(v) > 1 else 1.0
+    want = {(k, v[0][1]) for k, v in of.items() if k < 1000 and of[v[0][1]][0][1] == k and 2 * v[0][0] <= second(v) and 2 * v[0][0] <= second(of[v[0][1]])}
+    stable = mp.stable_pairs(left, right, 1.0, 10.0)
+    assert " join " not in _plan(stable) and {(r.a_id, r.b_id) for r in stable.collect()} == want
+    first = {}
+    for x in a:
+        c = [(abs(x[1] - y[1]), abs(x[2] - y[2]), y[0]) for y in b if y[1] - 1.0 <= x[1] <= y[1] + 1.0 and abs(x[2] - y[2]) <= 10.0]
+        if c:
+            first[x[0]] = min(c)[2]
+    found = mp.spectra_of_features(left.selectExpr("feature_id AS spectrum_id", "mz AS precursor_mz", "rt"), right, 1.0, 10.0)
+    assert " join " not in _plan(found) and {r.spectrum_id: r.feature_id for r in found.collect()} == first
+
+
+def test_gaps_are_not_shuffled(spark):
+    from spectraloom.functions import chemistry as ch
+    from spectraloom.functions import peptides as pe
+
+    at = [100.0]
+    for r in "GAL":
+        at.append(at[-1] + ch.RESIDUES[r])
+    df = spark.createDataFrame([(s, i, mz) for s in (1, 2) for i, mz in enumerate(at)] + [(3, 0, 5.0)], "spectrum_id long, peak_id long, mz double")
+    tags = pe.sequence_tags(df)
+    assert " join " not in _plan(tags)
+    assert sorted((r.spectrum_id, r.tag, r.first_mz) for r in tags.collect()) == [(1, "GAL", 100.0), (2, "GAL", 100.0)]
+
+
+def test_targets_of_one_mz_are_summed_once(spark):
+    from spectraloom.operators import joins as jo
+
+    peaks = spark.createDataFrame([(0, 1.0, 100.0, 5.0), (0, 1.0, 100.05, 6.0), (0, 2.0, 300.0, 7.0)], "run_id int, rt double, mz double, intensity double")
+    named = [(k, 100.0) for k in range(50)] + [(50, 100.0), (50, 300.0), (51, 300.0)]
+    out = jo.extract_chromatograms(peaks, spark.createDataFrame(named, "target int, target_mz double"))
+    got = {(r.target, r.rt): (r.intensity, r.n) for r in out.collect()}
+    assert got == {(k, 1.0): (11.0, 2) for k in range(51)} | {(50, 2.0): (7.0, 1), (51, 2.0): (7.0, 1)}
+    assert "aggregate [target_mz" in _plan(out)
