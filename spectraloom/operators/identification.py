@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import in_ranges, running
+from .ranges import in_ranges, range_cuts, running
 
 
 def best_hits(hits: DataFrame, n: int = 1, key=("spectrum_id",)) -> DataFrame:
@@ -29,12 +29,12 @@ CHUNKS = 256
 def running_curve(curve: DataFrame, pool: list[str], counts: list[str], value, by: str = "score") -> DataFrame:
     """curve (pool, by, counts) with value (of the counts' running sums from the best score on) and its minimum over worse scores.
 
-    value: name -> Column over the sums. Scores are dealt to ranges by approximate quantiles of their pool; sums and minima run within a
+    value: name -> Column over the sums. Scores are dealt to ranges by quantiles of their pool; sums and minima run within a
     range and over the ranges, of which a pool has few, so that no pool's scores meet in one task, however many they are."""
     pool = pool or ["_pool"]
     curve = curve if set(pool) <= set(curve.columns) else curve.withColumn("_pool", F.lit(0))
-    cuts = curve.groupBy(*pool).agg(F.percentile_approx(by, [i / CHUNKS for i in range(1, CHUNKS)], 10_000).alias("_cuts"))
-    c = curve.join(cuts, pool).withColumn("_chunk", F.size(F.filter("_cuts", lambda x: x >= F.col(by)))).drop("_cuts")
+    cuts = range_cuts(curve, pool, by, CHUNKS)
+    c = curve.join(cuts, pool, "left").withColumn("_chunk", F.size(F.filter("_cuts", lambda x: x >= F.col(by)))).drop("_cuts")
     down = Window.partitionBy(*pool, "_chunk").orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0)
     up = Window.partitionBy(*pool, "_chunk").orderBy(F.desc(by)).rowsBetween(0, Window.unboundedFollowing)
     before = Window.partitionBy(*pool).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -1,7 +1,10 @@
 """Running values, ranks and exact percentiles over pools of any size.
 
-A pool's rows are dealt to ranges of the ordering value by approximate quantiles; windows run within a range, and once more over
-the ranges, of which a pool has few. So no pool is sorted in one task, however many rows it has. Pools can have nulls as keys.
+A pool's rows are dealt to ranges of the ordering value by quantiles of some of its distinct values; windows run within a range, and once
+more over the ranges, of which a pool has few. So no pool is sorted in one task, however many rows it has. Pools can have nulls as keys.
+
+Rows and their ranges' totals are computed apart and joined, so the cuts between ranges have to come out the same each time. Those of
+percentile_approx don't: they depend on the order in which partial results arrive. The values here are those with the smallest hash.
 """
 
 from __future__ import annotations
@@ -10,16 +13,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RANGES = 256
+#: So many distinct values of a pool at most make its cuts.
+_SLOTS = 2048
+
+
+def range_cuts(df: DataFrame, pool: list[str], by: str, n: int) -> DataFrame:
+    """(pool, _cuts): n - 1 rising values of `by` with about as many distinct values between them; no row for pools of nulls only.
+
+    They are a function of the set of values alone, however rows are split and whatever order they come in."""
+    h = F.xxhash64(by)
+    some = df.filter(F.col(by).isNotNull()).groupBy(*pool, F.pmod(h, F.lit(_SLOTS)).alias("_slot")).agg(F.min_by(by, h).alias("_v"))
+    values = some.groupBy(*pool).agg(F.sort_array(F.collect_list("_v")).alias("_s"))
+    return values.select(*pool, F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.get("_s", F.floor(F.size("_s") * i / n).cast("int"))).alias("_cuts"))
 
 
 def in_ranges(df: DataFrame, pool: tuple | list, by: str, n: int = RANGES) -> DataFrame:
     """df with _pool (the pool's columns together) and _range, a number that rises with `by`; nulls come first."""
     df = df.withColumn("_pool", F.struct(*pool) if pool else F.struct(F.lit(0)))
-    cuts = df.groupBy("_pool").agg(F.percentile_approx(by, [i / n for i in range(1, n)], 10_000).alias("_cuts"))
+    cuts = range_cuts(df, ["_pool"], by, n)
     # how many cuts are below: a search that halves, as a look at each of them costs more than all that follows
     steps = F.array(*[F.lit(1 << k) for k in reversed(range((n - 1).bit_length()))])
     below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_cuts", at + step - 1) < F.col(by), at + step).otherwise(at))
-    return df.join(cuts, "_pool").withColumn("_range", F.when(F.col(by).isNotNull(), below).otherwise(-1)).drop("_cuts")
+    return df.join(cuts, "_pool", "left").withColumn("_range", F.when(F.col(by).isNotNull(), below).otherwise(-1)).drop("_cuts")
 
 
 def running(df: DataFrame, order: list, what: dict[str, tuple[str | Column, str]], inclusive: bool = True) -> DataFrame:

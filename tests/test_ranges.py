@@ -36,3 +36,19 @@ def test_percentiles_as_numpy(spark):
     assert percentiles(spark.createDataFrame([], "k string, v double"), ["k"], "v", at).collect() == []
     one = percentiles(spark.range(1).select(F.lit("x").alias("k"), F.lit(2.5).alias("v")), ["k"], "v", at).first()
     assert one.p == [2.5] * 5
+
+
+def test_ranges_are_of_the_values_alone(spark):
+    """Totals of ranges are computed apart from the rows: other cuts there, as other orders of arrival gave them, are wrong results."""
+    df = spark.range(150_000).select("id", (F.xxhash64("id") / 2.0**63).alias("v"))
+    there = in_ranges(df.repartition(3), [], "v").select("id", "_range")
+    back = in_ranges(df.orderBy(F.desc("v")).repartition(17), [], "v").select("id", F.col("_range").alias("_other"))
+    assert there.join(back, "id").filter("_range <> _other").count() == 0
+    sizes = [r["count"] for r in there.groupBy("_range").count().collect()]
+    assert len(sizes) == 256 and max(sizes) < 5 * 150_000 / 256
+
+
+def test_ranges_of_nulls(spark):
+    df = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("b", 3, 1.0)], "k string, id long, v double")
+    run = running(in_ranges(df, ["k"], "v"), ["v", "id"], {"n": (F.lit(1), "sum")})
+    assert sorted((r.id, r.n) for r in run.collect()) == [(1, 1), (2, 2), (3, 1)]
