@@ -40,3 +40,10 @@ def test_window_mower_jump_as_brute_force(spark):
             want |= {r[:2] for r in sorted(inside, key=lambda r: (-r[3], r[2], r[1]))[:n]}
             at += len(inside)
     assert {(r.spectrum_id, r.peak_id) for r in window_mower(df, 50.0, 3, "jump").collect()} == want
+
+
+def test_a_gap_of_just_the_tolerance_is_no_cut(spark):
+    low, high = 0.38144683837890625, 0.3814697265625
+    assert high - low == high * 6e-5 > high * (60.0 * 1e-6)
+    df = spark.createDataFrame([(0, 1, 1.0, 1, low, 5.0), (0, 2, 2.0, 2, high, 5.0)], "run_id int, spectrum_id int, rt double, peak_id int, mz double, intensity double")
+    assert [r.n for r in sg.mass_traces(df, 60.0, 3, 2).collect()] == [2]
