@@ -164,3 +164,38 @@ def test_targets_of_one_mz_are_summed_once(spark):
     got = {(r.target, r.rt): (r.intensity, r.n) for r in out.collect()}
     assert got == {(k, 1.0): (11.0, 2) for k in range(51)} | {(50, 2.0): (7.0, 1), (51, 2.0): (7.0, 1)}
     assert "aggregate [target_mz" in _plan(out)
+
+
+def test_dense_features_are_grouped_in_blocks(spark, monkeypatch):
+    from spectraloom.operators import runs as rn
+
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 3), i, 1 + i % 2, round(rng.uniform(0, 12), 2), float(rng.randint(0, 60))) for i in range(700)]
+    rows += [(m, 1000 + 10 * k + m, 1, 5.0, 7.0) for m in range(4) for k in range(3)]
+
+    def by_hand(own):
+        left, out = sorted(own, key=lambda r: r[1]), []
+        while left:
+            best = None
+            for r in left:
+                nearest: dict = {}
+                for x in left:
+                    d = (abs(x[3] - r[3]) / 0.1 + abs(x[4] - r[4]) / 10.0) / 2
+                    if x[0] != r[0] and r[3] - 0.1 <= x[3] <= r[3] + 0.1 and abs(x[4] - r[4]) <= 10.0:
+                        nearest[x[0]] = min(nearest.get(x[0], (9, 0, x)), (d, x[1], x))
+                quality = sum(1 - v[0] for v in sorted(nearest.values())) / 3
+                if best is None or quality > best[0]:
+                    best = (quality, r, [v[2] for v in nearest.values()])
+            members = [best[1], *best[2]]
+            out += [(best[1][1], x[0], x[1], round(best[0], 9)) for x in members]
+            left = [x for x in left if x not in members]
+        return out
+
+    want = sorted(x for z in (1, 2) for x in by_hand([r for r in rows if r[2] == z]))
+    df = spark.createDataFrame(rows, "map_id long, feature_id long, charge int, mz double, rt double")
+    for block, rounds in ((8, 0), (64, 5), (16, 5), (8, 2)):
+        monkeypatch.setattr(rn, "_GROUP_BLOCK", block, raising=False)
+        monkeypatch.setattr(rn, "_GROUP_ROUNDS", rounds, raising=False)
+        made = rn.group_features(df, 0.1, 10.0)
+        assert " window " not in _plan(made)  # bands between gaps were told by running values; a dense map has no gaps
+        assert sorted((r.group, r.map_id, r.feature_id, round(r.quality, 9)) for r in made.collect()) == want, (block, rounds)
