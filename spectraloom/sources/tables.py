@@ -20,6 +20,11 @@ VIEWS = {
 }
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df over as many tasks as shuffles have: for rows of which far more is made than their bytes tell, as a file of few bytes is one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sql(body: str) -> str:
     """body with the views that it names."""
     used = [f"{k} AS ({v})" for k, v in VIEWS.items() if k in body]
@@ -42,7 +47,7 @@ def hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.read.parquet(f"{d}/part.parquet")
+    t = dealt(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", "p_type", "p_brand"))
     return t.select(F.col("p_partkey").alias("accession"), F.regexp_replace(F.upper(F.concat("p_name", "p_type", "p_name", "p_brand", "p_type")), "[^ACDEFGHIKLMNPQRSTVWY]", "").alias("sequence"))
 
 
