@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import chemistry as ch
+from ..sources.tables import dealt
 from .joins import range_join
 from .ranges import in_ranges, joined, running
 
@@ -13,7 +14,7 @@ from .ranges import in_ranges, joined, running
 def candidates(peptides: DataFrame, precursors: DataFrame, tolerance: float, cell: float = 1.0) -> DataFrame:
     """(spectrum_id, peptide, mass): peptides whose mass is within tolerance of a precursor's."""
     mass = peptides.select("peptide", ch.peptide_mass(F.col("peptide")).alias("mass"))
-    want = precursors.select("spectrum_id", F.col("precursor_mass"))
+    want = dealt(precursors.select("spectrum_id", F.col("precursor_mass")))
     return range_join(mass, want, "mass", F.col("precursor_mass") - tolerance, F.col("precursor_mass") + tolerance, cell).select("spectrum_id", "peptide", "mass")
 
 
