@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chemistry as ch
 from ..functions import peptides as pe
+from ..sources.tables import dealt
 from .joins import range_join
 from .ranges import in_ranges, joined, percentiles, running
 
@@ -37,7 +38,7 @@ def cross_link_candidates(peptides: DataFrame, precursors: DataFrame, linker: fl
     p = peptides.select("peptide").distinct().withColumn("mass", ch.peptide_mass(F.col("peptide")))
     a = p.select(F.col("peptide").alias("alpha"), F.col("mass").alias("a_mass"))
     # alpha is the heavier one, so it has at least half of what is to explain
-    want = precursors.select("spectrum_id", (F.col("precursor_mass") - linker).alias("_total"))
+    want = dealt(precursors.select("spectrum_id", (F.col("precursor_mass") - linker).alias("_total")))
     heavy = range_join(a, want, "a_mass", F.col("_total") / 2 - tolerance, F.col("_total"), 200.0).withColumn("_rest", F.col("_total") - F.col("a_mass"))
     b = p.select(F.col("peptide").alias("beta"), F.col("mass").alias("b_mass"))
     both = range_join(b, heavy, "b_mass", F.col("_rest") - tolerance, F.col("_rest") + tolerance, max(1.0, 2 * tolerance))

@@ -199,3 +199,16 @@ def test_dense_features_are_grouped_in_blocks(spark, monkeypatch):
         made = rn.group_features(df, 0.1, 10.0)
         assert " window " not in _plan(made)  # bands between gaps were told by running values; a dense map has no gaps
         assert sorted((r.group, r.map_id, r.feature_id, round(r.quality, 9)) for r in made.collect()) == want, (block, rounds)
+
+
+def test_few_bytes_are_many_tasks(spark):
+    from spectraloom.operators import scoring as sc
+    from spectraloom.sources import tables as tb
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tb.sequences(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == n
+    one = lambda df: df.coalesce(1)
+    peptides = one(spark.createDataFrame([("GAGA",), ("GAGAK",)], "peptide string"))
+    pre = one(spark.range(100).selectExpr("id AS spectrum_id", "id * 1.0D AS precursor_mass"))
+    for df in (sc.candidates(peptides, pre, 0.5), asg.cross_link_candidates(peptides, pre, 138.0, 0.5)):
+        assert "repartition" in _plan(df)
