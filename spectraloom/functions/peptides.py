@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import range_join
+from ..sources.scratch import written
+from ..sources.tables import dealt
 from . import chemistry as ch
 
 # Cleavage sites of the enzymes, as regular expressions of the empty places between residues.
@@ -176,10 +178,11 @@ def neighbour_peptides(relevant: DataFrame, others: DataFrame, mass_tolerance: f
 
     share: twice the bins in common over both numbers of bins. Only pairs of close mass are compared."""
     mass = lambda d, c: d.select(F.col("peptide").alias(c)).distinct().withColumn(f"_{c}", ch.peptide_mass(F.col(c)))
-    a, b = mass(relevant, "relevant"), mass(others, "peptide")
+    # written, as both are read several times and cost a digest each
+    a, b = dealt(written(mass(relevant, "relevant"), "peptides")), written(mass(others, "peptide"), "peptides")
     close = range_join(b, a, "_peptide", F.col("_relevant") - mass_tolerance, F.col("_relevant") + mass_tolerance, max(0.1, 2 * mass_tolerance)).select("relevant", "peptide").filter("relevant != peptide")
     bins = lambda d, c: ch.fragment_ions(d.select(F.col(c).alias("peptide")).distinct()).select(F.col("peptide").alias(c), F.floor(F.col("mz") / bin_size).alias("bin")).distinct()
-    ra, rb = bins(close, "relevant"), bins(close, "peptide")
+    ra, rb = bins(a, "relevant"), bins(b, "peptide")
     na, nb = ra.groupBy("relevant").agg(F.count("*").alias("na")), rb.groupBy("peptide").agg(F.count("*").alias("nb"))
     both = close.join(ra, "relevant").join(rb, ["peptide", "bin"]).groupBy("relevant", "peptide").agg(F.count("*").alias("n"))
     return both.join(na, "relevant").join(nb, "peptide").select("relevant", "peptide", (2 * F.col("n") / (F.col("na") + F.col("nb"))).alias("share")).filter(F.col("share") >= least)
