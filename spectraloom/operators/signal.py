@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .filters import KEY
 from .ranges import in_ranges, running
 
+#: Pairs of points that a smoothing filter holds at a time, about.
+_MOST = 1 << 19
+
 
 def _each(peaks: DataFrame, f, key, order=("mz", "peak_id")) -> DataFrame:
     def run(d: pd.DataFrame) -> pd.DataFrame:
@@ -61,16 +64,25 @@ def gaussian_integral(peaks: DataFrame, width: float = 0.2, key=KEY) -> DataFram
     def smooth(x, y):
         out = np.zeros(len(y))
         lo, hi = np.searchsorted(x, x - 4 * sigma, "right"), np.searchsorted(x, x + 4 * sigma, "left")
-        for i in range(len(y)):
-            a, b = max(lo[i] - 1, 0) if x[max(lo[i] - 1, 0)] > x[i] - 4 * sigma else lo[i], hi[i]
-            t, v = x[a:b], y[a:b]
-            if len(t) < 2:
+        # points strictly inside of 4 standard deviations, some windows at a time: a bounded number of pairs
+        first = np.maximum(lo - 1, 0)
+        first = np.where(x[first] > x - 4 * sigma, first, lo) if len(x) else lo
+        n = np.where(hi - first >= 2, hi - first - 1, 0)  # steps between neighbours
+        upto, at = np.cumsum(n), 0
+        while at < len(y):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + _MOST, "right")))
+            k = n[at:to]
+            own, at = np.flatnonzero(k) + at, to
+            k = k[k > 0]
+            if not len(k):
                 continue
-            g = np.exp(-((t - x[i]) ** 2) / (2 * sigma * sigma))
-            d = np.diff(t)
-            area = (d * (g[1:] + g[:-1])).sum()
-            total = (d * (g[1:] * v[1:] + g[:-1] * v[:-1])).sum()
-            out[i] = total / area if area > 0 and total > 0 else 0.0
+            start = np.cumsum(k) - k
+            i, j = np.repeat(own, k), np.repeat(first[own] - start, k) + np.arange(k.sum())
+            g, h = (np.exp(-((x[s] - x[i]) ** 2) / (2 * sigma * sigma)) for s in (j, j + 1))
+            d = x[j + 1] - x[j]
+            area, total = np.add.reduceat(d * (h + g), start), np.add.reduceat(d * (h * y[j + 1] + g * y[j]), start)
+            ok = (area > 0) & (total > 0)
+            out[own[ok]] = total[ok] / area[ok]
         return y if len(y) >= 3 and not out.any() else out
 
     return _each(peaks, smooth, key)

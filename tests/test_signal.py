@@ -47,3 +47,19 @@ def test_a_gap_of_just_the_tolerance_is_no_cut(spark):
     assert high - low == high * 6e-5 > high * (60.0 * 1e-6)
     df = spark.createDataFrame([(0, 1, 1.0, 1, low, 5.0), (0, 2, 2.0, 2, high, 5.0)], "run_id int, spectrum_id int, rt double, peak_id int, mz double, intensity double")
     assert [r.n for r in sg.mass_traces(df, 60.0, 3, 2).collect()] == [2]
+
+
+def test_integral_is_of_all_windows_at_once(spark, monkeypatch):
+    """Against a loop over points, in several parts; y shifted by whole windows comes out the same."""
+    rng = np.random.default_rng(6)
+    x, y, sigma = np.sort(np.round(rng.random(300) * 90, 1)), rng.integers(-3, 90, 300).astype(float), 0.5
+    want = []
+    for i in range(300):
+        t = np.flatnonzero((x > x[i] - 4 * sigma) & (x < x[i] + 4 * sigma))
+        g, d = np.exp(-((x[t] - x[i]) ** 2) / (2 * sigma * sigma)), np.diff(x[t])
+        area, total = (d * (g[1:] + g[:-1])).sum(), (d * (g[1:] * y[t][1:] + g[:-1] * y[t][:-1])).sum()
+        want.append(total / area if len(t) > 1 and area > 0 and total > 0 else 0.0)
+    for most in (1 << 19, 7):
+        monkeypatch.setattr(sg, "_MOST", most)
+        got = [r.intensity for r in sg.gaussian_integral(_peaks(spark, y, x), 4.0).orderBy("mz", "peak_id").collect()]
+        assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
