@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,9 +114,28 @@ def protein_quantities(quantities: DataFrame, top: int = 3, average: str = "sum"
 
 
 def rank_correlation(vectors: DataFrame, key: tuple, x: str = "x", y: str = "y") -> DataFrame:
-    """(key, spearman): correlation of the two values' ranks, equal values sharing their mean rank."""
-    mean_rank = lambda c: F.rank().over(Window.partitionBy(*key).orderBy(c)) + (F.count("*").over(Window.partitionBy(*key, c)) - 1) / 2
-    return vectors.select(*key, mean_rank(x).alias("_x"), mean_rank(y).alias("_y")).groupBy(*key).agg(F.corr("_x", "_y").alias("spearman"))
+    """(key, spearman): correlation of the two values' ranks, equal values sharing their mean rank; null if those of one are all equal.
+
+    A key's rows, which an instrument bounds, are one group: they are shuffled once, and sorted in numpy. Nulls are equal and come first."""
+
+    def ranks(c: pa.ChunkedArray) -> np.ndarray:
+        v, there = c.fill_null(0.0).to_numpy(), c.is_valid().to_numpy()
+        order = np.lexsort((v, there))
+        v, there = v[order], there[order]
+        same = (there[1:] == there[:-1]) & ((v[1:] == v[:-1]) | (np.isnan(v[1:]) & np.isnan(v[:-1])))
+        first = np.flatnonzero(np.append(True, ~same))
+        n = np.diff(np.append(first, len(v)))
+        out = np.empty(len(v))
+        out[order] = np.repeat(first + (n + 1) / 2, n)
+        return out
+
+    def run(t: pa.Table) -> pa.Table:
+        a, b = (r - r.mean() for r in map(ranks, (t["_x"], t["_y"])))
+        both = (a * a).sum() * (b * b).sum()
+        return t.select(list(key)).slice(0, 1).append_column("spearman", pa.array([float((a * b).sum() / np.sqrt(both)) if both > 0 else None], pa.float64()))
+
+    v = vectors.select(*key, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
+    return v.groupBy(*key).applyInArrow(run, ", ".join(f"`{c}` {v.schema[c].dataType.simpleString()}" for c in key) + ", spearman double")
 
 
 def deviations(values: DataFrame, key: tuple, value: str) -> DataFrame:
