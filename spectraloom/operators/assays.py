@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,31 @@ def isotope_scores(peaks: DataFrame, ions: DataFrame, tolerance: float, charge:
     """(spectrum_id, ion_id, total, correlation): intensities at an ion's first isotopes, and their correlation with the expected pattern.
 
     ions: (spectrum_id, ion_id, ion_mz). Intensities within the tolerance of each isotope are summed, 0 without peaks; ions without any
-    have no row; the correlation of equal intensities is null."""
-    want = ions.select("spectrum_id", "ion_id", "ion_mz", F.explode(F.sequence(F.lit(0), F.lit(isotopes - 1))).alias("k")).withColumn("_at", F.col("ion_mz") + F.col("k") * ISOTOPE / charge)
-    near = range_join(peaks.select("spectrum_id", "mz", "intensity"), want, "mz", F.col("_at") - tolerance, F.col("_at") + tolerance, max(1.0, 2 * tolerance), ("spectrum_id",))
-    i = [F.coalesce(F.sum(F.when(F.col("k") == k, F.col("intensity"))), F.lit(0.0)).cast("double") for k in range(isotopes)]
-    s = near.groupBy("spectrum_id", "ion_id", "ion_mz").agg(*[c.alias(f"_i{k}") for k, c in enumerate(i)])
+    have no row; the correlation of equal intensities is null. A spectrum, whose size an instrument bounds, is one group: its peaks and ions
+    are shuffled once, pairs never."""
+    p = peaks.select("spectrum_id", F.lit(None).cast(ions.schema["ion_id"].dataType).alias("ion_id"), F.col("mz").cast("double").alias("mz"), F.col("intensity").cast("double").alias("intensity"), F.lit(False).alias("_ion"))
+    q = ions.select("spectrum_id", "ion_id", F.col("ion_mz").cast("double").alias("mz"), F.lit(None).cast("double").alias("intensity"), F.lit(True).alias("_ion"))
+
+    def run(t: pa.Table) -> pa.Table:
+        is_ion = t["_ion"].to_numpy()
+        own = t.filter(pa.array(~is_ion))
+        mz, y = own["mz"].to_numpy(), own["intensity"].fill_null(0.0).to_numpy()
+        order = np.argsort(mz, kind="stable")
+        mz, y = mz[order], np.append(y[order], 0.0)
+        of = t.filter(pa.array(is_ion)).sort_by("mz")
+        at, sums, n = of["mz"].to_numpy(), [], 0
+        for k in range(isotopes):
+            here = at + k * ISOTOPE / charge
+            low, high = np.searchsorted(mz, here - tolerance, "left"), np.searchsorted(mz, here + tolerance, "right")
+            s = np.add.reduceat(y, np.stack([low, high], 1).ravel())[::2] if len(at) else np.zeros(0)
+            sums.append(np.where(high > low, s, 0.0))
+            n = n + (high - low)
+        out = pa.table([of["spectrum_id"], of["ion_id"], of["mz"], *map(pa.array, sums)], names=["spectrum_id", "ion_id", "ion_mz", *[f"_i{k}" for k in range(isotopes)]])
+        return out.filter(pa.array(n > 0)) if len(at) else out
+
+    kind = {c: q.schema[c].dataType.simpleString() for c in ("spectrum_id", "ion_id")}
+    rows = p.unionByName(q).filter("mz IS NOT NULL AND spectrum_id IS NOT NULL")
+    s = rows.groupBy("spectrum_id").applyInArrow(run, f"spectrum_id {kind['spectrum_id']}, ion_id {kind['ion_id']}, ion_mz double, " + ", ".join(f"_i{k} double" for k in range(isotopes)))
     x, y = [F.col(f"_i{k}") for k in range(isotopes)], expected_pattern((F.col("ion_mz") - ch.PROTON) * charge, isotopes)
     add = lambda cs: sum(cs[1:], cs[0])
     mx, my = add(x) / isotopes, add(y) / isotopes
@@ -54,11 +76,15 @@ def isotope_scores(peaks: DataFrame, ions: DataFrame, tolerance: float, charge:
 
 
 def mass_errors(peaks: DataFrame, references: DataFrame, ppm: float) -> DataFrame:
-    """(run_id, reference, error, n): mean error in ppm, weighted by intensity, of a run's peaks within ppm of each reference (reference, reference_mz)."""
+    """(run_id, reference, error, n): mean error in ppm, weighted by intensity, of a run's peaks within ppm of each reference (reference, reference_mz).
+
+    References of one m/z have the same error, which is found once."""
     width = F.col("reference_mz") * (ppm * 1e-6)
-    near = range_join(peaks.select("run_id", "mz", "intensity"), references, "mz", F.col("reference_mz") - width, F.col("reference_mz") + width, 1.0).filter("intensity > 0")
+    near = range_join(peaks.select("run_id", "mz", "intensity"), references.select("reference_mz").distinct(), "mz", F.col("reference_mz") - width, F.col("reference_mz") + width, 1.0).filter("intensity > 0")
     off = (F.col("mz") - F.col("reference_mz")) / F.col("reference_mz") * 1e6
-    return near.groupBy("run_id", "reference", "reference_mz").agg((F.sum(off * F.col("intensity")) / F.sum("intensity")).alias("error"), F.count("*").alias("n"))
+    each = near.groupBy("run_id", "reference_mz").agg((F.sum(off * F.col("intensity")) / F.sum("intensity")).alias("error"), F.count("*").alias("n"))
+    named = references.groupBy("reference", "reference_mz").agg(F.count("*").alias("_k"))
+    return each.join(named, "reference_mz").select("run_id", "reference", "reference_mz", "error", (F.col("n") * F.col("_k")).alias("n"))
 
 
 def correct_masses(peaks: DataFrame, references: DataFrame, ppm: float) -> DataFrame:

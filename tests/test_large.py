@@ -212,3 +212,39 @@ def test_few_bytes_are_many_tasks(spark):
     pre = one(spark.range(100).selectExpr("id AS spectrum_id", "id * 1.0D AS precursor_mass"))
     for df in (sc.candidates(peptides, pre, 0.5), asg.cross_link_candidates(peptides, pre, 138.0, 0.5)):
         assert "repartition" in _plan(df)
+
+
+def test_isotopes_are_summed_within_spectra(spark):
+    from spectraloom.operators import assays as ay
+
+    rng = random.Random(9)
+    peaks = [(s, i, round(rng.uniform(100, 108), 2), rng.choice([None, 1.0, 5.5, 20.0])) for s in range(5) for i in range(30)]
+    ions = [(s, i, round(rng.uniform(95, 110), 2)) for s in range(6) for i in range(25)] + [(1, 99, None)]
+    df = ay.isotope_scores(spark.createDataFrame(peaks, "spectrum_id long, peak_id long, mz double, intensity double"), spark.createDataFrame(ions, "spectrum_id long, ion_id long, ion_mz double"), 0.2, 2)
+    assert " join " not in _plan(df)
+    want = {}
+    for s, i, mz in ions:
+        near = [p[3] or 0.0 for p in peaks for k in range(4) if mz and p[0] == s and mz + k * ay.ISOTOPE / 2 - 0.2 <= p[2] <= mz + k * ay.ISOTOPE / 2 + 0.2]
+        if near:
+            want[s, i] = sum(near)
+    got = {(r.spectrum_id, r.ion_id): r.total for r in df.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_references_of_one_mz_are_looked_up_once(spark):
+    from spectraloom.operators import assays as ay
+
+    peaks = spark.createDataFrame([(0, 100.001, 5.0), (0, 100.003, 5.0), (1, 300.0, 1.0)], "run_id int, mz double, intensity double")
+    refs = spark.createDataFrame([(k, 100.0) for k in range(40)] + [(40, 300.0), (40, 100.0), (7, 100.0)], "reference int, reference_mz double")
+    out = ay.mass_errors(peaks, refs, 50.0)
+    assert {(r.run_id, r.reference, r.reference_mz, round(r.error, 6), r.n) for r in out.collect()} == {(0, k, 100.0, 20.0, 4 if k == 7 else 2) for k in range(41)} | {(1, 40, 300.0, 0.0, 1)}
+    assert "aggregate [run_id" in _plan(out) and "reference_mz" in _plan(out).split("aggregate [run_id")[1].split("]")[0] and "reference#" not in _plan(out).split("aggregate [run_id")[1].split("]")[0]
+
+
+def test_ranks_need_no_windows(spark):
+    data = [(1, 1.0, 2.0), (1, 1.0, 3.0), (2, 5.0, 5.0)] + [(3, v, w) for v, w in ((None, 4.0), (None, 1.0), (2.0, 2.0), (2.0, float("nan")), (7.0, 3.0))]
+    df = asg.rank_correlation(spark.createDataFrame(data, "k int, x double, y double"), ("k",))
+    assert " window " not in _plan(df)
+    got = {r.k: r.spearman for r in df.collect()}
+    want = np.corrcoef([1.5, 1.5, 3.5, 3.5, 5], [4, 1, 2, 5, 3])[0, 1]
+    assert got.keys() == {1, 2, 3} and got[1] is None and got[2] is None and abs(got[3] - want) < 1e-12
