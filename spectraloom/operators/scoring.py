@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,12 +22,39 @@ def candidates(peptides: DataFrame, precursors: DataFrame, tolerance: float, cel
 
 
 def match_ions(peaks: DataFrame, psms: DataFrame, tolerance: float) -> DataFrame:
-    """(spectrum_id, peptide, ion, position, intensity, error, peak_id): for each b or y ion the nearest peak within tolerance (ties: the lower m/z)."""
+    """(spectrum_id, peptide, ion, position, intensity, error, peak_id): for each b or y ion the nearest peak within tolerance (ties: the lower m/z).
+
+    A spectrum, whose size an instrument bounds, is one group: its peaks and the ions of its candidates are shuffled once, pairs never."""
     ions = ch.fragment_ions(psms.select("peptide").distinct())
-    want = psms.select("spectrum_id", "peptide").join(ions.withColumnRenamed("mz", "ion_mz"), "peptide")
-    near = range_join(peaks.select("spectrum_id", "peak_id", "mz", "intensity"), want, "mz", F.col("ion_mz") - tolerance, F.col("ion_mz") + tolerance, max(1.0, 2 * tolerance), ("spectrum_id",))
-    o = Window.partitionBy("spectrum_id", "peptide", "ion", "position").orderBy(F.abs(F.col("mz") - F.col("ion_mz")), "mz", F.desc("intensity"), "peak_id")
-    return near.withColumn("_r", F.row_number().over(o)).filter("_r = 1").select("spectrum_id", "peptide", "ion", "position", "intensity", F.abs(F.col("mz") - F.col("ion_mz")).alias("error"), "peak_id")
+    want = psms.select("spectrum_id", "peptide").distinct().join(ions.withColumnRenamed("mz", "ion_mz"), "peptide")
+    kinds = dict(peaks.select("spectrum_id", "peak_id", "intensity").dtypes) | dict(want.select("peptide", "ion", "position").dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    rows = peaks.select("spectrum_id", none("peptide"), none("ion"), none("position"), "peak_id", F.col("mz").cast("double").alias("mz"), "intensity")
+    rows = rows.unionByName(want.select("spectrum_id", "peptide", "ion", "position", none("peak_id"), F.col("ion_mz").alias("mz"), none("intensity"))).filter("mz IS NOT NULL AND spectrum_id IS NOT NULL")
+
+    def run(t: pa.Table) -> pa.Table:
+        is_ion = t["ion"].is_valid()
+        p = t.filter(pc.invert(is_ion)).sort_by([("mz", "ascending"), ("intensity", "descending"), ("peak_id", "ascending")])
+        q = t.filter(is_ion)
+        mz, at = p["mz"].to_numpy(), q["mz"].to_numpy()
+        if not len(mz) or not len(at):
+            return pa.table({c: pa.array([], f.type) for c, f in zip(names, [*(t.schema.field(c) for c in names[:5]), t.schema.field("mz"), t.schema.field("peak_id")])})
+        # the first peak of those at the next m/z from the ion's on, and of those at the last m/z below it
+        right = np.searchsorted(mz, at, "left")
+        left = np.searchsorted(mz, mz[np.maximum(right - 1, 0)], "left")
+
+        def off(k: np.ndarray, there: np.ndarray) -> np.ndarray:
+            m = mz[np.minimum(k, len(mz) - 1)]
+            return np.where(there & (m >= at - tolerance) & (m <= at + tolerance), np.abs(m - at), np.inf)
+
+        below, above = off(left, right > 0), off(right, right < len(mz))
+        best, error = np.where(below <= above, left, right), np.minimum(below, above)
+        has = np.isfinite(error)
+        q, best = q.filter(pa.array(has)), p.take(pa.array(best[has]))
+        return pa.table([q["spectrum_id"], q["peptide"], q["ion"], q["position"], best["intensity"], pa.array(error[has]), best["peak_id"]], names=names)
+
+    names = ["spectrum_id", "peptide", "ion", "position", "intensity", "error", "peak_id"]
+    return rows.groupBy("spectrum_id").applyInArrow(run, ", ".join(f"{c} {'double' if c == 'error' else kinds[c]}" for c in names))
 
 
 def hyperscore(matches: DataFrame) -> DataFrame:

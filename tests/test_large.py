@@ -248,3 +248,23 @@ def test_ranks_need_no_windows(spark):
     got = {r.k: r.spearman for r in df.collect()}
     want = np.corrcoef([1.5, 1.5, 3.5, 3.5, 5], [4, 1, 2, 5, 3])[0, 1]
     assert got.keys() == {1, 2, 3} and got[1] is None and got[2] is None and abs(got[3] - want) < 1e-12
+
+
+def test_ions_find_their_peak_within_spectra(spark):
+    from spectraloom.functions import chemistry as ch
+    from spectraloom.operators import scoring as sc
+
+    rng = random.Random(3)
+    psms = [(s, p) for s in range(4) for p in ("GAGA", "AGK", "LLR")] + [(9, "GAGA")]
+    ions = [tuple(r) for r in ch.fragment_ions(spark.createDataFrame([(p,) for p in ("GAGA", "AGK", "LLR")], "peptide string")).select("peptide", "ion", "position", "mz").collect()]
+    peaks = [(s, i, round(rng.choice(ions)[3] + rng.choice([-0.5, -0.25, 0.0, 0.25, 0.25, 0.75]), 3), float(rng.randint(1, 3))) for s in range(5) for i in range(40)]
+    df = sc.match_ions(spark.createDataFrame(peaks, "spectrum_id long, peak_id long, mz double, intensity double"), spark.createDataFrame(psms, "spectrum_id long, peptide string"), 0.3)
+    want = set()
+    for s, p in psms:
+        for q, ion, position, mz in ions:
+            near = [(abs(k[2] - mz), k[2], -k[3], k[1]) for k in peaks if k[0] == s and q == p and mz - 0.3 <= k[2] <= mz + 0.3]
+            if near:
+                e, _, y, k = min(near)
+                want.add((s, p, ion, position, -y, e, k))
+    assert {tuple(r) for r in df.select("spectrum_id", "peptide", "ion", "position", "intensity", "error", "peak_id").collect()} == want
+    assert " window " not in _plan(df)
