@@ -49,9 +49,9 @@ def running(df: DataFrame, order: list, what: dict[str, tuple[str | Column, str]
     per_range = own
     marks = [(f"_x{i}", how) for i, (_, how) in enumerate(what.values())]
     if any(how == "last" for _, how in marks):
-        at = F.row_number().over(Window.partitionBy("_pool", "_range").orderBy(*order))
-        per_range = own.withColumn("_at", at)
-    total = lambda c, how: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))) if how == "last" else use[how](c)
+        # by range, as rows come from a join by pool, which Spark would take for dealt out well enough: a task would sort a whole pool
+        per_range = own.repartition("_pool", "_range").withColumn("_nth", F.row_number().over(Window.partitionBy("_pool", "_range").orderBy(*order)))
+    total = lambda c, how: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_nth"))) if how == "last" else use[how](c)
     base = per_range.groupBy("_pool", "_range").agg(*[total(c, how).alias(c) for c, how in marks])
     base = base.select("_pool", "_range", *[use[how](c).over(outer).alias(f"_b{c}") for c, how in marks])
     out = own.join(base, ["_pool", "_range"])

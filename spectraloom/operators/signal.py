@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .filters import KEY
 from .ranges import in_ranges, running
 
-#: Pairs of points that a smoothing filter holds at a time, about.
+#: Pairs of points or traces that are held at a time, about.
 _MOST = 1 << 19
 
 
@@ -107,28 +107,88 @@ def morphology(peaks: DataFrame, method: str = "tophat", half: int = 3, key=KEY)
     return p.withColumn("intensity", out if method in ("opening", "closing") else y - out).drop("_f")
 
 
+def _spread(df: DataFrame, *by) -> DataFrame:
+    """df by `by` over as many tasks as shuffles have: merged ones would sort as many rows as fit 64 MB of compressed ones."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
+def _bands(peaks: DataFrame, ppm: float, key) -> DataFrame:
+    """peaks with band: a number that rises where sorted m/z (nulls last) leave a gap above the tolerance.
+
+    No gap is within cells narrower than the tolerance, so bands follow from the lowest and highest m/z of each cell, of which a run has
+    as many as its m/z range allows, however many peaks. Other peaks (m/z not above zero, infinite, NaN or null) are cells of their own, as
+    are all where the tolerance is too small for logarithms."""
+    mz, own = F.col("mz"), ["spectrum_id", "peak_id", "mz"]
+    plain = (mz > 0) & (mz < float("inf")) & F.lit(ppm >= 1e-3)
+    p = peaks.withColumns({"_cell": F.when(plain, F.floor(F.log(mz) / (0.9 * max(ppm, 1e-3) / 1e6))).otherwise(F.xxhash64(*own)), "_odd": F.when(plain, F.lit(0)).otherwise(F.hash(*own))})
+    c = p.groupBy(*key, "_cell", "_odd").agg(F.min("mz").alias("_low"), F.max("mz").alias("_high"), F.min("peak_id").alias("_id"))
+    o = ["_at", "_id"]
+    c = running(in_ranges(c.withColumn("_at", F.coalesce("_low", F.lit(float("nan")))), key, "_at"), o, {"_last": ("_high", "last")}, inclusive=False)
+    c = c.withColumn("_cut", F.coalesce((F.col("_low") - F.col("_last") > F.col("_low") * (ppm / 1e6)).cast("int"), F.lit(0)))
+    c = running(c, o, {"band": ("_cut", "sum")})
+    return _spread(p, *key, "_cell", "_odd").join(c.select(*key, "_cell", "_odd", "band"), [*key, "_cell", "_odd"]).drop("_cell", "_odd")
+
+
 def mass_traces(peaks: DataFrame, ppm: float = 20.0, gaps: int = 1, shortest: int = 3, key=("run_id",)) -> DataFrame:
     """(key, trace, n, mz, rt_low, rt_high, apex, intensity): peaks of neighbouring m/z in consecutive spectra.
 
     A run's peaks are first cut where sorted m/z leave a gap above the tolerance, so groups are narrow bands, not runs;
     a trace ends after more than `gaps` spectra without a peak. Each spectrum adds its most intense peak of the band."""
     scans = peaks.select(*key, "spectrum_id", "rt").distinct().withColumn("scan", F.row_number().over(Window.partitionBy(*key).orderBy("rt", "spectrum_id")))
-    o = ["mz", "peak_id"]
-    cut = (F.col("mz") - F.col("_last") > F.col("mz") * (ppm / 1e6)).cast("int")
-    band = running(in_ranges(peaks, key, "mz"), o, {"_last": ("mz", "last")}, inclusive=False).withColumn("_cut", F.coalesce(cut, F.lit(0)))
-    band = running(band, o, {"band": ("_cut", "sum")}).drop("_pool", "_range")
-    top = band.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "band", "spectrum_id").orderBy(F.desc("intensity"), "peak_id"))).filter("_r = 1").join(scans.drop("rt"), [*key, "spectrum_id"])
+    band = _spread(_bands(peaks.select(*key, "spectrum_id", "rt", "peak_id", "mz", "intensity"), ppm, key), *key, "spectrum_id")
+    top = band.withColumn("_r", F.row_number().over(Window.partitionBy(*key, "spectrum_id", "band").orderBy(F.desc("intensity"), "peak_id"))).filter("_r = 1").join(scans.drop("rt"), [*key, "spectrum_id"])
+    top = _spread(top.select(*key, "band", "scan", "rt", "mz", "intensity"), *key, "band")
     line = Window.partitionBy(*key, "band").orderBy("scan")
     top = top.withColumn("_new", (F.col("scan") - F.lag("scan").over(line) > gaps + 1).cast("int")).withColumn("part", F.sum(F.coalesce("_new", F.lit(0))).over(line))
     found = top.groupBy(*key, "band", "part").agg(F.count("*").alias("n"), F.coalesce(F.try_divide(F.sum(F.col("mz") * F.col("intensity")), F.sum("intensity")), F.avg("mz")).alias("mz"), F.min("rt").alias("rt_low"), F.max("rt").alias("rt_high"), F.max_by("rt", F.struct("intensity", -F.col("rt"))).alias("apex"), F.sum("intensity").alias("intensity"))
     return found.filter(F.col("n") >= shortest)
 
 
+def _isotope_pairs(d: pd.DataFrame, charges: tuple, tolerance: float, width: float, pad: float, key, most: int = _MOST) -> pd.DataFrame:
+    """Pairs of a block's monoisotopes and isotopes, tried `most` at a time or as many as a monoisotope has."""
+    mono, start = d["_mono"].to_numpy(bool), d["_block"].iloc[0] * width
+    m, iso = ({c: d[c].to_numpy()[k] for c in ("mz", "apex", "rt_low", "rt_high")} for k in (mono, ~mono))
+    times = np.unique(iso["apex"])
+    cell = lambda x: np.floor((x - start) / pad).astype(np.int64) * (len(times) + 1)
+    # a cell's isotopes lie together, ordered by apex
+    place = cell(iso["mz"]) + np.searchsorted(times, iso["apex"])
+    order = np.argsort(place, kind="stable")
+    place, iso = place[order], {c: v[order] for c, v in iso.items()}
+    low, high = np.searchsorted(times, m["rt_low"], "left"), np.searchsorted(times, m["rt_high"], "right")
+    found = [(np.zeros(0, np.int64),) * 3]
+    for z in charges if len(times) else ():
+        want = m["mz"] + 1.00335483 / z
+        for step in (-1, 0, 1):
+            near = cell(want) + step * (len(times) + 1)
+            first = np.searchsorted(place, near + low)
+            n = np.searchsorted(place, near + high) - first
+            upto, i = np.cumsum(n), 0
+            while i < len(n):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
+                k = n[i:j]
+                a = np.repeat(np.arange(i, j), k)
+                b = np.repeat(first[i:j] - (np.cumsum(k) - k), k) + np.arange(len(a))
+                hit = (np.abs(iso["mz"][b] - want[a]) <= tolerance) & (m["apex"][a] >= iso["rt_low"][b]) & (m["apex"][a] <= iso["rt_high"][b])
+                found.append((np.full(hit.sum(), z), a[hit], b[hit]))
+                i = j
+    z, a, b = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({**{k: np.repeat(d[k].iloc[:1].to_numpy(), len(a)) for k in key}, "charge": z, "mono_mz": m["mz"][a], "iso_mz": iso["mz"][b], "apex": iso["apex"][b]})
+
+
 def group_isotopes(traces: DataFrame, charges: tuple = (1, 2, 3), tolerance: float = 0.02, key=("run_id",)) -> DataFrame:
-    """(key, charge, mono_mz, iso_mz, apex): pairs of traces one isotope apart whose apexes lie in each other's time range."""
-    base = traces.select(*key, F.col("mz").alias("mono_mz"), F.col("apex").alias("a"), F.col("rt_low").alias("lo"), F.col("rt_high").alias("hi"))
-    want = base.select("*", F.explode(F.array(*[F.lit(z) for z in charges])).alias("charge")).withColumn("_at", F.col("mono_mz") + 1.00335483 / F.col("charge"))
-    want = want.withColumn("_cell", F.explode(F.array(*[(F.floor(F.col("_at") / tolerance) + k) for k in (-1, 0, 1)])))
-    iso = traces.select(*key, F.col("mz").alias("iso_mz"), "apex", "rt_low", "rt_high").withColumn("_cell", F.floor(F.col("iso_mz") / tolerance))
-    hit = want.join(iso, [*key, "_cell"]).filter((F.abs(F.col("iso_mz") - F.col("_at")) <= tolerance) & F.col("apex").between(F.col("lo"), F.col("hi")) & F.col("a").between(F.col("rt_low"), F.col("rt_high")))
-    return hit.select(*key, "charge", "mono_mz", "iso_mz", "apex")
+    """(key, charge, mono_mz, iso_mz, apex): pairs of traces one isotope apart whose apexes lie in each other's time range.
+
+    Traces meet in blocks of m/z: each is in its own as an isotope and, as a monoisotope, in those where its isotopes may be. Within cells
+    of a block only those whose apexes lie in a monoisotope's time range are paired, some at a time."""
+    steps = [1.00335483 / z for z in charges]
+    mz, pad = F.col("mz"), tolerance * (1 + 1e-6) + 1e-9
+    width = max(1.0, 4 * (max(steps) - min(steps) + 2 * pad))
+    block = lambda x: F.floor(x / width)
+    t = traces.filter(F.abs(mz) < float("inf"))
+    for c in (*key, "apex", "rt_low", "rt_high"):
+        t = t.filter(F.col(c).isNotNull())
+    places = F.concat(F.array(F.struct(block(mz).alias("_block"), F.lit(False).alias("_mono"))), F.transform(F.sequence(block(mz + (min(steps) - pad)), block(mz + (max(steps) + pad))), lambda b: F.struct(b.alias("_block"), F.lit(True).alias("_mono"))))
+    t = t.select(*key, "mz", "apex", "rt_low", "rt_high", F.inline(places))
+    kind = {f.name: f.dataType.simpleString() for f in t.schema}
+    out = ", ".join([*[f"`{k}` {kind[k]}" for k in key], "charge int, mono_mz double, iso_mz double", f"apex {kind['apex']}"])
+    return t.groupBy(*key, "_block").applyInPandas(lambda d: _isotope_pairs(d, charges, tolerance, width, pad, key), out)

@@ -52,3 +52,17 @@ def test_ranges_of_nulls(spark):
     df = spark.createDataFrame([("a", 1, None), ("a", 2, None), ("b", 3, 1.0)], "k string, id long, v double")
     run = running(in_ranges(df, ["k"], "v"), ["v", "id"], {"n": (F.lit(1), "sum")})
     assert sorted((r.id, r.n) for r in run.collect()) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_last_values_of_ranges_are_found_by_range(spark):
+    """Rows come from a join by pool; a window that takes them as they are sorts a whole pool in one task."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), "id", (F.col("id") * 7 % 31).alias("v"))
+    run = running(in_ranges(df, ["k"], "v"), ["v", "id"], {"l": ("id", "last")})
+    most = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the tables were large
+    try:
+        plan = run._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", most)
+    steps = [next(x for x in plan[i:] if "Exchange" in x or "Join" in x) for i, line in enumerate(plan) if "Window [row_number()" in line]
+    assert steps and all("Exchange hashpartitioning(_pool" in x and "_range" in x for x in steps)
